@@ -112,15 +112,17 @@ def predict_texts(col: pa.Array, model: dict) -> tuple[list[str], np.ndarray]:
     if not langs:
         return [UNKNOWN] * len(col), np.zeros(len(col))
     z = np.empty((len(col), len(langs)))
+    table = np.concatenate([logp, np.zeros((1, len(langs)))])
     for first, last, chars, offsets in _characters(col):
-        part = np.tile(model["prior"], (last - first, 1))
+        doc = np.repeat(np.arange(last - first), np.diff(offsets))
+        values = None
         for k, code in _grams(chars):
-            sums = np.zeros((len(code) + 1, len(langs)))
-            np.cumsum(logp[code], axis=0, out=sums[1:])
-            lo = np.minimum(offsets[:-1], len(code))
-            hi = np.minimum(np.maximum(offsets[1:] - k + 1, offsets[:-1]), len(code))
-            part += sums[hi] - sums[lo]
-        z[first:last] = part
+            if values is None:
+                values = table[code]
+                continue
+            code[doc[: len(code)] != doc[k - 1 :]] = SIZE  # n-grams across documents count nothing
+            values[: len(code)] += table[code]
+        z[first:last] = model["prior"] + (blocks.segment_sums(values, offsets) if values is not None else 0.0)
     best = z.argmax(axis=1)
     top = z[np.arange(len(z)), best]
     score = 1 / np.exp(z - top[:, None]).sum(axis=1)

@@ -138,7 +138,7 @@ def foreign_chunks(listed: DataFrame) -> DataFrame:
 
 
 def _pack(data: bytes) -> bytes:
-    return pa.compress(data, codec="zstd", asbytes=True) if data else b""
+    return pa.Codec("zstd", compression_level=6).compress(data, asbytes=True) if data else b""
 
 
 def _unpack(packed: bytes, size: int) -> bytes:
@@ -149,8 +149,8 @@ def store(docs: DataFrame, foreign: DataFrame, text_col: str = "text") -> DataFr
     """Write and reread the store: (item, size, foreign, chunks, sizes, own), a row for each distinct item.
 
     ``chunks`` and ``sizes`` are the ordered chunk list; ``own`` is the data of
-    the item's own chunks (each once, in order), compressed.  What is shuffled
-    is compressed media, once.
+    the item's own chunks (each once, in order).  What is shuffled is compressed
+    media, once; the table's own compression works across items.
     """
 
     def kernel(col: pa.Array) -> list:
@@ -171,23 +171,20 @@ def store(docs: DataFrame, foreign: DataFrame, text_col: str = "text") -> DataFr
                 names = [_digest(p) for p in parts]
                 chunks.append(names)
                 sizes.append([len(p) for p in parts])
-                distinct = dict(zip(names, parts))
-                if other or len(distinct) < len(parts):
-                    skip = set(other or ())
-                    packed = _pack(b"".join([p for c, p in distinct.items() if c not in skip]))
-                owns.append(packed)
+                skip = set(other or ())
+                owns.append(b"".join([p for c, p in dict(zip(names, parts)).items() if c not in skip]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(chunks, pa.list_(pa.binary())), pa.array(sizes, pa.list_(pa.int32())), pa.array(owns, pa.binary())], names=["item", "foreign", "chunks", "sizes", "own"])
 
-    return runtime.materialize(rows.mapInArrow(stage, "item binary, foreign array<binary>, chunks array<binary>, sizes array<int>, own binary"), "media")
+    return runtime.materialize(rows.mapInArrow(stage, "item binary, foreign array<binary>, chunks array<binary>, sizes array<int>, own binary"), "media", level=6)
 
 
 def _own_chunks(chunks: list[bytes], sizes: list[int], foreign: list[bytes] | None, own: bytes) -> dict[bytes, bytes]:
     """The data of an item's own chunks, verified."""
     skip = set(foreign or ())
     wanted = {c: n for c, n in zip(chunks, sizes) if c not in skip}
-    data, out, at = _unpack(own, sum(wanted.values())), {}, 0
+    out, at = {}, 0
     for c, n in wanted.items():
-        out[c] = data[at : at + n]
+        out[c] = own[at : at + n]
         at += n
         if _digest(out[c]) != c:
             raise ValueError("a stored chunk doesn't have its digest")

@@ -27,8 +27,10 @@ from . import blocks, linear, runtime
 VOCAB_BITS = 14
 VOCAB = 1 << VOCAB_BITS
 DIM = 32
-HIDDEN = 24
+HIDDEN = 16
 SPAN = 2
+#: Words at which a text's pooled vector counts half.
+SHRINK = 10
 #: Labelled rows that the classifier is fitted on, at most.
 MAX_TRAIN_ROWS = 6_000
 THRESHOLD = 0.7
@@ -95,21 +97,26 @@ def pool(codes: np.ndarray, first: np.ndarray, table: np.ndarray) -> np.ndarray:
     return blocks.segment_sums(table[codes], first) / np.maximum(1, np.diff(first))[:, None]
 
 
-def fit(sequences: list[np.ndarray], y: np.ndarray, steps: int = 400, seed: int = 5) -> dict | None:
+def standardise(pooled: np.ndarray, sizes: np.ndarray, mean: np.ndarray, std: np.ndarray) -> np.ndarray:
+    """Pooled vectors in standard deviations from the mean, drawn to it where few words were pooled."""
+    return (pooled - mean) / std * (sizes / (sizes + SHRINK))[:, None]
+
+
+def fit(sequences: list[np.ndarray], y: np.ndarray, steps: int = 250, seed: int = 5) -> dict | None:
     """Word vectors and network; None without two classes of labelled rows."""
     n = len(y)
     if not n or y.min() == y.max():
         return None
     table = np.concatenate([word_vectors(sequences), index_vectors() / 2], axis=1)
-    first = np.concatenate([[0], np.cumsum([len(s) for s in sequences])])
+    sizes = np.array([len(s) for s in sequences])
     x = np.concatenate([pool(s.astype(np.int64), np.array([0, len(s)]), table) for s in sequences])
     mean, std = x.mean(axis=0), np.maximum(1e-4, x.std(axis=0))
-    x = (x - mean) / std
+    x = standardise(x, sizes, mean, std).astype(np.float32)
     held = np.arange(n) % 5 == 0
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         held[:] = False
     xt, yt = x[~held], y[~held]
-    weight = linear.class_weights(yt) / len(yt)
+    weight = (linear.class_weights(yt) / len(yt)).astype(np.float32)
     rng = np.random.default_rng(seed)
 
     def gradient(p):
@@ -119,22 +126,38 @@ def fit(sequences: list[np.ndarray], y: np.ndarray, steps: int = 400, seed: int
         back = d[:, None] * w2[None, :] * (1 - a * a)
         return [xt.T @ back + 1e-4 * w1, back.sum(axis=0), a.T @ d + 1e-4 * w2, np.array([d.sum()])]
 
-    start = [rng.normal(0, 0.15, (x.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 0.3, HIDDEN), np.zeros(1)]
+    start = [rng.normal(0, 0.15, (x.shape[1], HIDDEN)).astype(np.float32), np.zeros(HIDDEN, np.float32), rng.normal(0, 0.3, HIDDEN).astype(np.float32), np.zeros(1, np.float32)]
     w1, b1, w2, b2 = linear.adam(start, gradient, steps, 0.01)
     xc, yc = (x[held], y[held]) if held.any() else (x, y)
     t = linear.temperature(np.tanh(xc @ w1 + b1) @ w2 + b2[0], yc)
-    assert first[-1] == sum(map(len, sequences))
     return {"table": table.astype(np.float32), "mean": mean, "std": std, "net": (w1, b1, w2, float(b2[0])), "temperature": t}
 
 
+def projected(model: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The word table seen through the network's first layer, and what the mean takes off.
+
+    Pooling is linear, so words can be projected once instead of every document.
+    """
+    w1 = model["net"][0] / model["std"][:, None]
+    return (model["table"] @ w1).astype(np.float32), (model["mean"] @ w1).astype(np.float64)
+
+
 def probabilities(col: pa.Array, model: dict | None) -> np.ndarray:
     out = np.full(len(col), 0.5)
     if model is None:
         return out
-    w1, b1, w2, b2 = model["net"]
+    table, off = model.setdefault("projected", None) or projected(model)
+    model["projected"] = table, off
+    _, b1, w2, b2 = model["net"]
     for first, last, data, offsets in blocks.blocks(col):
-        x = (pool(*tokens(data, offsets), model["table"]) - model["mean"]) / model["std"]
-        out[first:last] = linear.sigmoid((np.tanh(x @ w1 + b1) @ w2 + b2) / model["temperature"])
+        code, cuts = tokens(data, offsets)
+        sizes = np.diff(cuts)
+        sums = np.zeros((last - first, HIDDEN))
+        some = sizes > 0
+        if some.any():
+            sums[some] = np.add.reduceat(table[code], cuts[:-1][some], axis=0)
+        x = (sums / np.maximum(1, sizes)[:, None] - off) * (sizes / (sizes + SHRINK))[:, None]
+        out[first:last] = linear.sigmoid((np.tanh(x + b1) @ w2 + b2) / model["temperature"])
     return out
 
 
