@@ -146,9 +146,10 @@ def _unpack(packed: bytes, size: int) -> bytes:
 
 
 def store(docs: DataFrame, foreign: DataFrame, text_col: str = "text") -> DataFrame:
-    """Write and reread the store: (item, size, foreign, chunks, sizes, own), a row for each distinct item.
+    """Write and reread the store: (item, foreign, lent, chunks, sizes, own), a row for each distinct item.
 
-    ``chunks`` and ``sizes`` are the ordered chunk list; ``own`` is the data of
+    ``foreign`` are the chunks that it borrows and ``lent`` those that others
+    borrow from it (null: none), so that readers need no join to tell.  ``chunks`` and ``sizes`` are the ordered chunk list; ``own`` is the data of
     the item's own chunks (each once, in order).  What is shuffled is compressed
     media, once; the table's own compression works across items.
     """
@@ -158,8 +159,9 @@ def store(docs: DataFrame, foreign: DataFrame, text_col: str = "text") -> DataFr
         return [[hashlib.sha256(wav(d)).digest() for d in data], [len(d) for d in data], [_pack(d) for d in data]]
 
     texts = runtime.map_text(docs, kernel, [("item", "binary"), ("size", "bigint"), ("packed", "binary")], text_col, ())
-    without = foreign.groupBy("item").agg(F.collect_set("chunk").alias("foreign"))
-    rows = texts.dropDuplicates(["item"]).join(without, "item", "left").select("item", "size", "packed", "foreign")
+    borrows = foreign.groupBy("item").agg(F.collect_set("chunk").alias("foreign"))
+    lends = foreign.groupBy(F.col("owner").alias("item")).agg(F.collect_set("chunk").alias("lent"))
+    rows = texts.dropDuplicates(["item"]).join(borrows.join(lends, "item", "full"), "item", "left").select("item", "size", "packed", "foreign", "lent")
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,9 +175,9 @@ def store(docs: DataFrame, foreign: DataFrame, text_col: str = "text") -> DataFr
                 sizes.append([len(p) for p in parts])
                 skip = set(other or ())
                 owns.append(b"".join([p for c, p in dict(zip(names, parts)).items() if c not in skip]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(chunks, pa.list_(pa.binary())), pa.array(sizes, pa.list_(pa.int32())), pa.array(owns, pa.binary())], names=["item", "foreign", "chunks", "sizes", "own"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), batch.column(4), pa.array(chunks, pa.list_(pa.binary())), pa.array(sizes, pa.list_(pa.int32())), pa.array(owns, pa.binary())], names=["item", "foreign", "lent", "chunks", "sizes", "own"])
 
-    return runtime.materialize(rows.mapInArrow(stage, "item binary, foreign array<binary>, chunks array<binary>, sizes array<int>, own binary"), "media", level=6)
+    return runtime.materialize(rows.mapInArrow(stage, "item binary, foreign array<binary>, lent array<binary>, chunks array<binary>, sizes array<int>, own binary"), "media", level=6)
 
 
 def _own_chunks(chunks: list[bytes], sizes: list[int], foreign: list[bytes] | None, own: bytes) -> dict[bytes, bytes]:
@@ -196,8 +198,7 @@ def fetched(stored: DataFrame, foreign: DataFrame) -> DataFrame:
 
     Only owners that lend chunks are unpacked, and only lent chunks move.
     """
-    lent = foreign.select("owner", "chunk").distinct().groupBy("owner").agg(F.collect_list("chunk").alias("lent"))
-    owners = stored.join(lent, stored.item == lent.owner).select("foreign", "chunks", "sizes", "own", "lent")
+    owners = stored.where("lent IS NOT NULL").select("foreign", "chunks", "sizes", "own", "lent")
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,13 +215,15 @@ def fetched(stored: DataFrame, foreign: DataFrame) -> DataFrame:
 
 def read_back(stored: DataFrame, foreign: DataFrame, with_media: bool = False) -> DataFrame:
     """Each item's bytes put together and verified, and their digests and features."""
-    rows = stored.join(fetched(stored, foreign), "item", "left").select("item", "foreign", "chunks", "sizes", "own", "parts")
+    cols = ["item", "foreign", "chunks", "sizes", "own"]
+    whole = stored.where("foreign IS NULL").select(*cols)  # stays where it is stored: no shuffle
+    mended = stored.where("foreign IS NOT NULL").select(*cols).join(fetched(stored, foreign), "item", "left").select(*cols, "parts")
     names = ["item", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"] + ["media"] * with_media
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for item, other, chunks, sizes, own, parts in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            for item, other, chunks, sizes, own, parts in zip(*(c.to_pylist() for c in batch.columns)):
                 have = _own_chunks(chunks, sizes, other, own)
                 size = dict(zip(chunks, sizes))
                 for p in parts or ():
@@ -236,7 +239,8 @@ def read_back(stored: DataFrame, foreign: DataFrame, with_media: bool = False) -
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
     schema = "item binary, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string" + ", media binary" * with_media
-    return rows.mapInArrow(stage, schema)
+    kind = fetched(stored, foreign).schema["parts"].dataType
+    return whole.withColumn("parts", F.lit(None).cast(kind)).mapInArrow(stage, schema).unionByName(mended.mapInArrow(stage, schema))
 
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_media: bool = False) -> DataFrame:
