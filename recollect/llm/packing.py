@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import pickle
 import zlib
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -34,10 +35,11 @@ from . import runtime
 
 CAPACITY = 2048
 #: Distinct chunks of text whose ids a worker remembers.
-MEMO = 300_000
+MEMO = 700_000
 #: Underfull bins that local search works on, the emptiest first.
 SEARCH_BINS = 384
 _END = b"\0\0\0\0"
+_CLOSING = ".,!?;:"
 
 
 class Tokenizer:
@@ -57,8 +59,26 @@ class Tokenizer:
         self.library, self.memo, self.limit = Library.from_str(spec), {}, memo
         self.many = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.many(texts, add_special_tokens=False)]
+    def _learn(self, chunks: set[str]) -> None:
+        """Put the ids of ``chunks`` into the memo.
+
+        Chunks that differ in case or in closing punctuation share the work:
+        the library lower-cases, and punctuation behind a letter or digit is a
+        word of its own.  This holds for characters below U+0130, which Python
+        and the library lower-case alike and which are in normal form.
+        """
+        memo, parts = self.memo, {}
+        for c in chunks:
+            if c and max(c) < "\u0130" and "<|" not in c and " " not in c:
+                low = c.lower()
+                stem = low.rstrip(_CLOSING)
+                if stem and stem[-1].isalnum() and (stem[-1].isalpha() or stem[-1].isdecimal()):
+                    parts[c] = stem, low[len(stem) :]
+        need = {c for c in chunks if c not in parts}.union(*parts.values()).difference(memo) if parts else chunks
+        need = list(need)
+        memo.update(zip(need, [array("I", e.ids).tobytes() for e in self.many(need, add_special_tokens=False)]))
+        for c, (stem, closing) in parts.items():
+            memo[c] = memo[stem] + memo[closing]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -70,11 +90,11 @@ class Tokenizer:
                 split.append([t])
             else:
                 split.append(t.lower().split())
-        rest = list(set().union(*split).difference(self.memo))
+        rest = set().union(*split).difference(self.memo)
         if len(self.memo) + len(rest) > self.limit:
             self.memo.clear()
-            rest = list(set().union(*split))
-        self.memo.update(zip(rest, self._encode(rest)))
+            rest = set().union(*split)
+        self._learn(rest)
         get = self.memo.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
