@@ -175,8 +175,11 @@ def local_search(bins: list[list[int]], capacity: int = CAPACITY, rounds: int =
     """
     bins = [sorted(b, reverse=True) for b in bins if b]
     fill = [sum(b) for b in bins]
+    least = -(-sum(fill) // capacity)
     for _ in range(rounds):
         better = False
+        if len(bins) <= least:
+            break
         order = sorted(range(len(bins)), key=lambda i: fill[i])
         for a in order:
             for b in reversed(order):
