@@ -21,6 +21,7 @@ ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import pickle
+import uuid
 import zlib
 from array import array
 from collections import Counter, defaultdict
@@ -28,14 +29,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import runtime
+from . import blocks, runtime
+from .merges import LONGEST, Merges
 
 CAPACITY = 2048
 #: Distinct chunks of text whose ids a worker remembers.
-MEMO = 700_000
+MEMO = 1_000_000
+#: Bytes of text that are encoded at a time (a longer text is encoded by itself).
+BLOCK_BYTES = 1 << 23
 #: Underfull bins that local search works on, the emptiest first.
 SEARCH_BINS = 384
 _END = b"\0\0\0\0"
@@ -46,8 +51,8 @@ class Tokenizer:
     """Ids of whole texts by the library, put together from those of chunks between white space.
 
     The tokenizer must drop white space before it merges, so that chunks encode
-    independently.  Texts with control characters that Python counts as white
-    space and the library doesn't are encoded whole.
+    independently.  Texts are cut at ASCII white space only; other white space
+    stays within a chunk and is the library's to drop.
     """
 
     def __init__(self, spec: str, memo: int = MEMO):
@@ -56,53 +61,100 @@ class Tokenizer:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer as Library
 
-        self.library, self.memo, self.limit = Library.from_str(spec), {}, memo
+        self.library, self.merges, self.limit = Library.from_str(spec), Merges(spec), memo
         self.many = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
+        self._forget()
 
-    def _learn(self, chunks: set[str]) -> None:
-        """Put the ids of ``chunks`` into the memo.
+    def _forget(self) -> None:
+        """Chunk i of the memo has the ids from starts[i] to starts[i + 1]."""
+        self.memo: dict[str, int] = {}
+        self.ids, self.starts = array("I"), array("q", [0])
+
+    def _put(self, chunk: str, ids: array) -> None:
+        self.memo[chunk] = len(self.starts) - 1
+        self.ids.extend(ids)
+        self.starts.append(len(self.ids))
+
+    def _known(self, chunk: str) -> array:
+        i = self.memo[chunk]
+        return self.ids[self.starts[i] : self.starts[i + 1]]
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Put the ids of ``chunks``, none of which it has, into the memo.
 
         Chunks that differ in case or in closing punctuation share the work:
         the library lower-cases, and punctuation behind a letter or digit is a
         word of its own.  This holds for characters below U+0130, which Python
-        and the library lower-case alike and which are in normal form.
+        and the library lower-case alike and which are in normal form.  Words of
+        such letters alone are one pre-token each and are merged many at a time.
         """
-        memo, parts = self.memo, {}
+        parts = {}
         for c in chunks:
-            if c and max(c) < "\u0130" and "<|" not in c and " " not in c:
+            if c and not (c.isalpha() and c.islower()) and (c.isascii() or max(c) < "\u0130") and "<|" not in c:
                 low = c.lower()
                 stem = low.rstrip(_CLOSING)
-                if stem and stem[-1].isalnum() and (stem[-1].isalpha() or stem[-1].isdecimal()):
+                if stem != c and stem and stem[-1].isalnum() and (stem[-1].isalpha() or stem[-1].isdecimal()):
                     parts[c] = stem, low[len(stem) :]
-        need = {c for c in chunks if c not in parts}.union(*parts.values()).difference(memo) if parts else chunks
-        need = list(need)
-        memo.update(zip(need, [array("I", e.ids).tobytes() for e in self.many(need, add_special_tokens=False)]))
+        need = [c for c in {c for c in chunks if c not in parts}.union(*parts.values()) if c not in self.memo]
+        if self.merges.usable:
+            plain = [(c, raw) for c in need if c.isalpha() and (c.isascii() or max(c) < "\u0130") and len(raw := c.lower().encode()) <= LONGEST]
+            order, lengths, ids = self.merges.encode([raw for _, raw in plain])
+            self.memo.update(zip([plain[i][0] for i in order], range(len(self.starts) - 1, len(self.starts) - 1 + len(plain))))
+            self.starts.frombytes((np.cumsum(lengths) + self.starts[-1]).tobytes())
+            self.ids.frombytes(ids.tobytes())
+            need = [c for c in need if c not in self.memo]
+        for c, e in zip(need, self.many(need, add_special_tokens=False)):
+            self._put(c, array("I", e.ids))
         for c, (stem, closing) in parts.items():
-            memo[c] = memo[stem] + memo[closing]
+            self._put(c, self._known(stem) + self._known(closing))
+
+    def encode_block(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of ``col`` (no nulls), one after another, and the offsets of each text's."""
+        split = pc.ascii_split_whitespace(col)
+        words = split.flatten().dictionary_encode()
+        chunks = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        code = list(map(self.memo.get, chunks))
+        rest = [c for c, k in zip(chunks, code) if k is None]
+        if rest:
+            if len(self.memo) + len(rest) > self.limit or len(self.ids) > 8 * self.limit:
+                self._forget()
+                rest = chunks
+            self._learn(rest)
+            code = list(map(self.memo.__getitem__, chunks))
+        starts = np.frombuffer(self.starts, np.int64)
+        code = np.array(code, np.int64)
+        first, length = starts[code], starts[code + 1] - starts[code]
+        at = np.asarray(words.indices)
+        own = length[at]
+        ends = np.cumsum(own)
+        ids = np.frombuffer(self.ids, np.uint32) if self.ids else np.zeros(0, np.uint32)
+        total = int(ends[-1]) if len(ends) else 0
+        got = ids[np.repeat(first[at] - (ends - own), own) + np.arange(total)]
+        offs = np.asarray(split.offsets) - split.offsets[0].as_py() if len(col) else np.zeros(1, np.int64)
+        return got, np.concatenate([[0], ends])[offs]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split: list[list[str]] = []
-        for t in texts:
-            if not t.isascii():
-                split.append([t] if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split())
-            elif "<|" in t or any(c in t for c in "\x1c\x1d\x1e\x1f"):
-                split.append([t])
-            else:
-                split.append(t.lower().split())
-        rest = set().union(*split).difference(self.memo)
-        if len(self.memo) + len(rest) > self.limit:
-            self.memo.clear()
-            rest = set().union(*split)
-        self._learn(rest)
-        get = self.memo.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        ids, at = self.encode_block(pa.array(texts, pa.string()))
+        return [ids[a:b].tobytes() for a, b in zip(at, at[1:])]
+
+
+#: The memo of a worker's latest job; a job's tasks share it.
+_OF_JOB: dict[str, Tokenizer] = {}
+
+
+def _tokenizer(job: str, spec: str) -> Tokenizer:
+    if job not in _OF_JOB:
+        _OF_JOB.clear()
+        _OF_JOB[job] = Tokenizer(spec)
+    return _OF_JOB[job]
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, piece, start, length, ids_crc32, task, nth): the pieces, and which of its length in its task each is."""
     with open(path, encoding="utf-8") as f:
         spec = f.read()
+    job = uuid.uuid4().hex
     runtime.share_package(docs.sparkSession)
     inner = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     kind = inner.schema["i"].dataType.simpleString()
@@ -110,23 +162,22 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, nth, tok = TaskContext.get().partitionId(), Counter(), Tokenizer(spec)
+        task, nth, tok = TaskContext.get().partitionId(), Counter(), _tokenizer(job, spec)
         names = ["i", "piece", "start", "length", "ids_crc32", "task", "nth"]
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                rows, at = [], []
-                for k, ids in enumerate(tok.encode(part.column(1).to_pylist())):
-                    ids += _END
-                    for p, b in enumerate(range(0, len(ids), capacity * 4)):
-                        own = ids[b : b + capacity * 4]
-                        n = len(own) // 4
-                        rows.append((p, b // 4, n, zlib.crc32(own), task, nth[n]))
+            for lo, hi, _, _ in blocks.blocks(batch.column(1), BLOCK_BYTES):
+                ids, at = tok.encode_block(batch.column(1).slice(lo, hi - lo))
+                rows, of = [], []
+                for k, (a, b) in enumerate(zip(at.tolist(), at[1:].tolist())):
+                    own = ids[a:b].tobytes() + _END
+                    for p, c in enumerate(range(0, len(own), capacity * 4)):
+                        cut = own[c : c + capacity * 4]
+                        n = len(cut) // 4
+                        rows.append((p, c // 4, n, zlib.crc32(cut), task, nth[n]))
                         nth[n] += 1
-                        at.append(k)
-                if rows:
-                    cols = [pa.array(np.array(c), t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))]
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), *cols], names=names)
+                        of.append(lo + k)
+                cols = [pa.array(np.array(c), t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), *cols], names=names)
 
     return inner.mapInArrow(stage, f"i {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, task int, nth bigint").withColumnRenamed("i", id_col)
 
