@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text, vectors
+from ..operators import evaluation as E
 from ..operators import memory as M
 from ..operators import similarity as S
 from ..sources import files
@@ -306,6 +307,66 @@ def i1_daily_accesses(spark, sf):
     return a.select("node_id", F.col("start").cast("timestamp_ntz").alias("start"), "accesses", F.col("last").cast("timestamp_ntz").alias("last"))
 
 
+ENTRIES = """entries AS (SELECT l_orderkey AS summary_id, l_suppkey::varchar AS node_id, l_returnflag AS relation, l_linestatus AS role, 'out' AS direction, l_linenumber AS rank, l_discount AS weight FROM lineitem),
+best AS (SELECT *, row_number() OVER (PARTITION BY summary_id, node_id, relation, role ORDER BY rank, weight DESC) AS rn FROM entries)
+SELECT summary_id, node_id, relation, role, direction, rank, weight, row_number() OVER (PARTITION BY summary_id ORDER BY rank, weight DESC, node_id, relation, role) AS pos FROM best WHERE rn = 1"""
+
+
+def index_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connection entries: an order's suppliers."""
+    return T.table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("summary_id"), F.col("l_suppkey").cast("string").alias("node_id"), F.col("l_returnflag").alias("relation"), F.col("l_linestatus").alias("role"), F.lit("out").alias("direction"), F.col("l_linenumber").alias("rank"), F.col("l_discount").alias("weight")
+    )
+
+
+@query(f"WITH {ENTRIES}")
+def e7_connection_index(spark, sf):
+    return E.connection_index(index_entries(spark, sf))
+
+
+@query(f"WITH {ENTRIES}")
+def g4_merge_index(spark, sf):
+    e = index_entries(spark, sf)
+    return E.connection_index(e.where("weight >= 0.05"), e.where("weight < 0.05 OR rank = 1"))
+
+
+@query(f"WITH {ACCESS}, total AS (SELECT node_id, count(*) AS total FROM log WHERE ts <= 1706659200 GROUP BY 1) SELECT a.node_id, round(0.6 * freq + 0.4 * rec, 6) AS score, total FROM access a JOIN total t ON a.node_id = t.node_id ORDER BY 0.6 * freq + 0.4 * rec DESC, a.node_id LIMIT 10")
+def d21_top_accessed(spark, sf):
+    log = T.access_log(spark, sf)
+    total = log.where(F.col("ts") <= T.AS_OF).groupBy("node_id").agg(F.count("*").alias("total"))
+    return M.access_scores(log, T.AS_OF).join(total, "node_id").orderBy(F.desc("score"), "node_id").limit(10).select("node_id", r6(F.col("score")).alias("score"), "total")
+
+
+JUDGED = """ranked AS (SELECT conv_id AS q, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn) AS rank FROM conversations),
+metrics AS (SELECT q AS question_id, (q % 3)::int AS question_type, count(*) FILTER (role = 'assistant' AND rank <= 3) > 0 AS recall_any, count(*) FILTER (role = 'assistant' AND rank > 3) = 0 AS recall_all,
+  coalesce(sum(1 / log2(rank + 1)) FILTER (role = 'assistant' AND rank <= 3) / list_sum(list_transform(range(1, 1 + least(3, count(*) FILTER (role = 'assistant'))), lambda r: 1 / log2(r + 1))), 0) AS ndcg FROM ranked GROUP BY q)"""
+
+
+def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics at 3 of conversations as questions: turns ranked by length, those of the assistant relevant."""
+    c = T.table(spark, sf_dir, "conversations").withColumnsRenamed({"conv_id": "question_id", "turn": "doc_id"})
+    order = Window.partitionBy("question_id").orderBy(F.length("text").desc(), "doc_id")
+    questions = c.select("question_id", (F.col("question_id") % 3).cast("int").alias("question_type")).distinct()
+    return E.retrieval_metrics(questions, c.select("question_id", "doc_id", F.row_number().over(order).alias("rank")), c.where("role = 'assistant'").select("question_id", "doc_id").distinct(), 3)
+
+
+@query(f"WITH {JUDGED} SELECT question_id, question_type, recall_any, recall_all, round(ndcg, 6) AS ndcg FROM metrics")
+def d22_retrieval_metrics(spark, sf):
+    return judged(spark, sf).withColumn("ndcg", r6(F.col("ndcg")))
+
+
+@query(f"WITH {JUDGED} SELECT question_type, count(*) AS n, round(avg(recall_any::int), 6) AS recall_any, round(avg(recall_all::int), 6) AS recall_all, round(avg(ndcg), 6) AS ndcg FROM metrics GROUP BY 1")
+def d22_metrics_by_type(spark, sf):
+    m = E.metrics_by_type(judged(spark, sf))
+    return m.select("question_type", "n", *[r6(F.col(c)).alias(c) for c in ("recall_any", "recall_all", "ndcg")])
+
+
+@query("SELECT event_type, count(value) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(avg(value), 6) AS mean FROM events GROUP BY 1")
+def d23_sample_summary(spark, sf):
+    s = E.sample_summary(T.table(spark, sf, "events"), "event_type", "value")
+    return s.select("event_type", "n", *[r6(F.col(c)).alias(c) for c in ("p50", "p95", "mean")])
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
