@@ -62,9 +62,15 @@ def keep_best(n: DataFrame, key, order: list) -> DataFrame:
 
 
 def exact_duplicates(n: DataFrame) -> DataFrame:
-    """Ids that exact-duplicate pruning deletes: all but the best of equal (type, normalised content)."""
-    w = Window.partitionBy("node_type", text.content_hash(F.col("content"))).orderBy(scores.by_tier(F.col("tier"), scores.TIER_PRIORITY, 0).desc(), F.desc("importance"), F.desc("created_at"), "id")
-    return n.where(~F.col("pinned")).select("id", F.row_number().over(w).alias("rn")).where("rn > 1").select("id")
+    """Ids that exact-duplicate pruning deletes: all but the best of equal (type, normalised content).
+
+    The best of a group is an aggregate with partial results, and the rest are
+    found by id, so a group of a third of all rows lands in no single task.
+    """
+    order = F.struct((-scores.by_tier(F.col("tier"), scores.TIER_PRIORITY, 0)).alias("p"), (-F.col("importance")).alias("i"), (-F.col("created_at")).alias("c"), F.col("id").alias("id"))
+    rows = n.where(~F.col("pinned"))
+    best = rows.groupBy("node_type", text.content_hash(F.col("content")).alias("h")).agg(F.min(order).alias("first"))
+    return rows.select("id").join(best.select(F.col("first.id").alias("id")), "id", "left_anti")
 
 
 def stats(n: DataFrame) -> DataFrame:

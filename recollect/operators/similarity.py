@@ -33,10 +33,19 @@ def top_k(v: DataFrame, query, k: int, threshold: float = -1.0) -> DataFrame:
     return v.select("id", vectors.dot(F.col("embedding"), vectors.literal(query)).alias("score")).orderBy(F.desc("score"), "id").limit(k).where(F.col("score") >= threshold)
 
 
-def nearest(rows: DataFrame, centres: DataFrame, threshold: float) -> DataFrame:
-    """Each row's best centre (a bounded table of (centre, centre_vector)) at or above the threshold."""
+def nearest(rows: DataFrame, centres: DataFrame, threshold: float, blocks: int = 8) -> DataFrame:
+    """Each row's best centre of (centre, centre_vector) at or above the threshold; of equal ones the smallest.
+
+    Centres are dealt into blocks and each row meets one block at a time, so
+    neither side is broadcast; partial maxima leave one row a block and id.
+    """
+    deal = rows.select("id", "embedding").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    deal = deal.withColumn("share", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    held = centres.select("centre", "centre_vector", F.pmod(F.xxhash64("centre"), F.lit(blocks)).cast("int").alias("block"))
+    held = held.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     s = vectors.dot(F.col("embedding"), F.col("centre_vector"))
-    best = rows.join(F.broadcast(centres)).groupBy("id").agg(F.max_by(F.struct("centre", s.alias("s")), F.struct(s, -F.col("centre"))).alias("m"))
+    met = deal.join(held, ["block", "share"]).select("id", "centre", s.alias("s"))
+    best = met.groupBy("id").agg(F.max_by(F.struct("centre", "s"), F.struct(F.col("s"), -F.col("centre"))).alias("m"))
     return best.select("id", F.col("m.centre").alias("centre"), F.col("m.s").alias("similarity")).where(F.col("similarity") >= threshold)
 
 
@@ -47,21 +56,28 @@ def centroids(v: DataFrame, key: str) -> DataFrame:
     return listed.select(key, vectors.unit(F.transform("c", lambda p: p.x)).alias("centroid"))
 
 
-def clusters(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, root) of the components of (a, b), by smallest labels; each round is checkpointed."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    labels = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root"))
+def clusters(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(node, root) of the components of (a, b): the smallest node that each is connected to.
+
+    Each round takes the smallest label around and then that label's own label,
+    so chains halve; edges and labels are checkpointed, so no round computes
+    the pairs anew and a lost executor costs its running tasks.
+    """
     sc = edges.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         import tempfile
 
-        if not sc.master.startswith("local"):
+        shared = edges.sparkSession.conf.get("spark.checkpoint.dir", "")
+        if not shared and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a shared folder")
-        sc.setCheckpointDir(tempfile.mkdtemp())
-    labels = labels.checkpoint()
+        sc.setCheckpointDir(shared or tempfile.mkdtemp())
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
+    labels = both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("root")).checkpoint()
     for _ in range(rounds):
         near = both.join(labels.select(F.col("a").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near"))
-        new = labels.join(near, "a").select("a", F.col("root").alias("old"), F.least("root", "near").alias("root")).checkpoint()
+        met = labels.join(near, "a").select("a", F.col("root").alias("old"), F.least("root", "near").alias("met"))
+        jump = labels.select(F.col("a").alias("met"), F.col("root").alias("next"))
+        new = met.join(jump, "met", "left").select("a", "old", F.least("met", F.coalesce("next", "met")).alias("root")).checkpoint()
         if new.where("root < old").isEmpty():
             return new.select(F.col("a").alias("node"), "root")
         labels = new.select("a", "root")
@@ -84,5 +100,6 @@ def stratified(n: DataFrame, cycle: int, batch: int) -> DataFrame:
     start = (cycle * per) % (per * 10)
     w = Window.partitionBy("tier").orderBy("created_at", "id")
     at = scores.by_tier(F.col("tier"), {"working": 0, "semantic": start + per, "episodic": start + 2 * per}, None)
-    rn = n.where(F.col("tier").isin("working", "semantic", "episodic")).withColumn("rn", F.row_number().over(w) - 1)
-    return rn.where((F.col("rn") >= at) & (F.col("rn") < at + per)).orderBy(F.desc("importance"), "created_at", "id").limit(batch)
+    # A fixed last rank lets every partition drop its later rows before the shuffle.
+    rn = n.where(F.col("tier").isin("working", "semantic", "episodic")).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= start + 3 * per)
+    return rn.where((F.col("rn") > at) & (F.col("rn") <= at + per)).orderBy(F.desc("importance"), "created_at", "id").limit(batch)
