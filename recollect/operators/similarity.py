@@ -33,6 +33,19 @@ def top_k(v: DataFrame, query, k: int, threshold: float = -1.0) -> DataFrame:
     return v.select("id", vectors.dot(F.col("embedding"), vectors.literal(query)).alias("score")).orderBy(F.desc("score"), "id").limit(k).where(F.col("score") >= threshold)
 
 
+def top_k_each(v: DataFrame, queries: DataFrame, k: int, blocks: int = 8) -> DataFrame:
+    """(query, id, rank, score): the k most similar rows of each query of (query, query_vector).
+
+    Rows and queries meet in blocks; each task keeps its own k best of a query
+    before the shuffle by query.
+    """
+    left = v.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("x")).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = queries.select("query", "query_vector", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int").alias("y")).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    s = left.join(right, ["x", "y"]).select("query", "id", vectors.dot(F.col("embedding"), F.col("query_vector")).alias("score"))
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def nearest(rows: DataFrame, centres: DataFrame, threshold: float, blocks: int = 8) -> DataFrame:
     """Each row's best centre of (centre, centre_vector) at or above the threshold; of equal ones the smallest.
 
