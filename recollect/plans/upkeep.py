@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import text, vectors
 from ..operators import code_graph as C
+from ..operators import consolidation as K
 from ..operators import maintenance as U
 from ..operators import ranges as R
 from ..operators import similarity as S
 from ..sources import tables as T
-from .queries import HASH, NODES, query, r6
+from ..streaming import access
+from .queries import EDGES, HASH, LOW, NODES, PAIRS, first_vector, query, r6
 
 WORDS = ["license", "die", "los", "les"]
 _LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
@@ -159,3 +161,68 @@ def j5_code_graph(spark, sf):
     name = F.regexp_replace(F.initcap(F.lower("p_type")), "[^A-Za-z]", "")
     source = F.concat(F.lit('"""Parts."""\nimport json as j\nfrom os import path\n\nclass '), name, F.lit("(Base):\n    def size(self):\n        return helper(self)\n\ndef helper(x):\n    return j.dumps(x)\n"))
     return C.code_graph(T.table(spark, sf, "part").select("p_type").distinct().select(F.concat(name, F.lit(".py")).alias("path"), source.alias("source")))
+
+
+MERGED = f"""{NODES}, {PAIRS}, e AS (SELECT a, b FROM pairs WHERE s >= {LOW} UNION SELECT b, a FROM pairs WHERE s >= {LOW}),
+walk AS (SELECT a AS node, a AS other FROM e UNION SELECT w.node, e.b FROM walk w JOIN e ON e.a = w.other),
+c AS (SELECT node, min(other) AS root FROM walk GROUP BY node), best AS (SELECT a AS node, max(s) AS s FROM (SELECT a, s FROM pairs UNION ALL SELECT b, s FROM pairs) WHERE s >= {LOW} GROUP BY 1),
+sim AS (SELECT 'm:' || root AS summary_id, avg(s) AS similarity FROM c JOIN best ON c.node = best.node GROUP BY 1), member AS (SELECT node::varchar AS id, 'm:' || root AS summary_id FROM c)"""
+
+
+def merged(spark, sf):
+    p = S.pairs(T.vectors(spark, sf), LOW)
+    return K.merge(T.nodes(spark, sf), S.clusters(p), p)
+
+
+@query(f"""WITH RECURSIVE {MERGED} SELECT m.summary_id, count(*) AS size, round(max(importance) * 0.95, 6) AS importance, '[SUMMARY] ' || string_agg(trim(content, ' '), ' | ' ORDER BY n.id) AS content, round(any_value(similarity), 6) AS similarity
+FROM nodes n JOIN member m ON n.id = m.id JOIN sim ON sim.summary_id = m.summary_id GROUP BY 1""")
+def i5_merge_summaries(spark, sf):
+    return merged(spark, sf)[0].select("summary_id", "size", r6(F.col("importance")).alias("importance"), "content", r6(F.col("similarity")).alias("similarity"))
+
+
+@query(f"WITH RECURSIVE {MERGED} SELECT id, CASE WHEN id IN (SELECT id FROM member) THEN 'archived' ELSE tier END AS tier, CASE WHEN id IN (SELECT id FROM member) THEN importance * 0.5 ELSE importance END AS importance, pinned OR id IN (SELECT id FROM member) AS pinned FROM nodes")
+def i5_merge_sources(spark, sf):
+    return merged(spark, sf)[1].select("id", "tier", "importance", "pinned")
+
+
+@query(f"WITH RECURSIVE {MERGED} SELECT m.summary_id AS source_id, m.id AS target_id, 'derived_from' AS relation, round(similarity, 6) AS weight FROM member m JOIN sim ON sim.summary_id = m.summary_id JOIN nodes n ON n.id = m.id")
+def i5_merge_edges(spark, sf):
+    return merged(spark, sf)[2].withColumn("weight", r6(F.col("weight")))
+
+
+@query("""WITH q AS (SELECT embedding::double[] AS q FROM embeddings WHERE vec_id = 0), h AS (SELECT vec_id AS query, list_dot_product(embedding::double[], q) AS similarity, 1706659200 - vec_id * 600 AS ts, [vec_id, vec_id + 1, vec_id // 2] AS node_ids FROM embeddings, q),
+near AS (SELECT * FROM h WHERE similarity >= 0.2 ORDER BY similarity DESC, query LIMIT 5), each AS (SELECT unnest(node_ids) AS node_id, similarity * pow(2.0, -((1706659200 - ts) / 3600.0) / 24.0) AS s FROM near)
+SELECT node_id, round(max(s), 6) AS score FROM each GROUP BY 1 ORDER BY max(s) DESC, node_id LIMIT 20""")
+def c19_pattern_prefetch(spark, sf):
+    h = T.vectors(spark, sf).select(F.col("id").alias("query"), vectors.dot(F.col("embedding"), vectors.literal(first_vector(spark, sf))).alias("similarity"), (F.lit(T.AS_OF) - F.col("id") * 600).alias("ts"), F.array(F.col("id"), F.col("id") + 1, F.floor(F.col("id") / 2)).alias("node_ids"))
+    return K.prefetch(h, T.AS_OF, threshold=0.2).withColumn("score", r6(F.col("score")))
+
+
+@query(f"""WITH {EDGES}, seeds AS (SELECT 'o:' || o_orderkey AS id, 1.0 / (1 + o_orderkey % 7) AS score, row_number() OVER (ORDER BY o_orderkey) AS rank FROM orders WHERE o_orderkey <= 200),
+entries AS (SELECT 'o:' || l_orderkey AS summary_id, 's:' || l_suppkey AS node_id, l_linenumber AS rank, l_discount * 10 AS weight FROM lineitem WHERE l_orderkey % 3 > 0),
+via AS (SELECT e.node_id AS t, s.score * 0.9 * greatest(0.1, weight) / e.rank AS s FROM seeds s JOIN entries e ON e.summary_id = s.id),
+two AS (SELECT source_id AS id, target_id AS t FROM edges UNION ALL SELECT target_id, source_id FROM edges),
+walked AS (SELECT t, arg_min(score, rank) * 0.6 AS s FROM seeds JOIN two ON seeds.id = two.id WHERE seeds.id NOT IN (SELECT summary_id FROM entries) GROUP BY t)
+SELECT t AS id, round(max(s), 6) AS score FROM (SELECT * FROM via UNION ALL SELECT * FROM walked) WHERE t NOT IN (SELECT id FROM seeds) GROUP BY t""")
+def c5_seed_expansion(spark, sf):
+    key = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    seeds = T.table(spark, sf, "orders").where("o_orderkey <= 200").select(key("o:", "o_orderkey").alias("id"), (1.0 / (1 + F.col("o_orderkey") % 7)).alias("score"), F.col("o_orderkey").alias("rank"))
+    entries = T.table(spark, sf, "lineitem").where("l_orderkey % 3 > 0").select(key("o:", "l_orderkey").alias("summary_id"), key("s:", "l_suppkey").alias("node_id"), F.col("l_linenumber").alias("rank"), (F.col("l_discount") * 10).alias("weight"))
+    return K.expand_seeds(seeds, entries, T.hierarchy(spark, sf)).withColumn("score", r6(F.col("score")))
+
+
+@query("WITH v AS (SELECT source, lang, max(doc_id) AS t FROM documents GROUP BY 1, 2), l AS (SELECT source, arg_max(lang, t) AS lang FROM v GROUP BY 1) SELECT d.doc_id FROM documents d JOIN l ON d.source = l.source WHERE d.lang <> l.lang")
+def e5_stale_versions(spark, sf):
+    return K.stale_versions(T.table(spark, sf, "documents"), "source", "lang", "doc_id", "doc_id")
+
+
+@query("""WITH o AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 6 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM o) SELECT user_id AS node_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, g""")
+def i14_sessions(spark, sf):
+    return access.sessions(T.table(spark, sf, "events"), "6 hours").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query(f"WITH {PAIRS} SELECT a, b, md5(least(a::varchar, b::varchar) || greatest(a::varchar, b::varchar)) AS pair_key FROM pairs WHERE s >= {LOW}")
+def h15_pair_keys(spark, sf):
+    a, b = F.col("a").cast("string"), F.col("b").cast("string")
+    return S.pairs(T.vectors(spark, sf), LOW).select("a", "b", F.md5(F.concat(F.least(a, b), F.greatest(a, b)).cast("binary")).alias("pair_key"))
