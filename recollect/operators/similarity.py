@@ -2,24 +2,58 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scores, vectors
 
 
-def pairs(v: DataFrame, lower: float, upper: float | None = None, blocks: int = 8) -> DataFrame:
+#: Rows of one block of vectors; a pair of blocks is multiplied at once.
+BLOCK_ROWS = 1024
+
+
+def pairs(v: DataFrame, lower: float, upper: float | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(a, b, similarity), a < b, of rows with lower <= similarity (< upper).
 
-    Exact: rows are dealt into blocks and every pair of blocks is one join key,
-    so the work spreads over blocks x blocks / 2 keys and nothing is broadcast.
+    Exact: rows are packed into blocks of about ``block_rows`` by a hash of the
+    id, so the number of blocks grows with the rows and a task holds two blocks
+    at a time; each pair of blocks is one matrix product in an Arrow stage.
+    Vectors that are null, hold nulls or differ in length make no pair.
     """
+    kind = v.schema["id"].dataType
+    usable = v.select("id", "embedding").where("embedding IS NOT NULL AND id IS NOT NULL AND NOT exists(embedding, x -> x IS NULL)")
+    blocks = max(1, -(-usable.count() // block_rows))
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    left = v.select(F.col("id").alias("a"), F.col("embedding").alias("ea"), block.alias("x")).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = v.select(F.col("id").alias("b"), F.col("embedding").alias("eb"), block.alias("y")).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    s = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), vectors.dot(F.col("ea"), F.col("eb"))))
-    out = left.join(right, ["x", "y"]).where("a < b").select("a", "b", s.alias("similarity")).where(F.col("similarity") >= lower)
-    return out if upper is None else out.where(F.col("similarity") < upper)
+    packed = usable.groupBy(F.size("embedding").alias("dim"), block.alias("x")).agg(F.array_sort(F.collect_list(F.struct("id", F.col("embedding").cast("array<double>").alias("e")))).alias("rows"))
+    packed = packed.select("dim", "x", F.transform("rows", lambda r: r.id).alias("ids"), F.flatten(F.transform("rows", lambda r: r.e)).alias("m"))
+    left = packed.withColumn("y", F.explode(F.sequence(F.col("x"), F.lit(blocks - 1))))
+    right = packed.select("dim", F.col("x").alias("y"), F.col("ids").alias("ids2"), F.col("m").alias("m2"))
+    met = left.join(right, ["dim", "y"]).select("dim", (F.col("x") == F.col("y")).alias("same"), "ids", "m", "ids2", "m2")
+    schema = T.StructType().add("a", kind).add("b", kind).add("similarity", "double")
+
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                dim, same = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                ids, ids2 = batch.column(2)[i].values, batch.column(4)[i].values
+                one, two = (batch.column(c)[i].values.to_numpy(zero_copy_only=False).reshape(-1, dim) for c in (3, 5))
+                s = np.clip(one @ two.T, -1.0, 1.0)
+                hit = s >= lower if upper is None else (s >= lower) & (s < upper)
+                at, to = np.nonzero(np.triu(hit, 1) if same else hit)
+                for k in range(0, len(at), 1 << 16):
+                    p, q = at[k : k + (1 << 16)], to[k : k + (1 << 16)]
+                    a, b = ids.take(pa.array(p)), ids2.take(pa.array(q))
+                    first = pc.less(a, b)
+                    made = [pc.if_else(first, a, b), pc.if_else(first, b, a), pa.array(s[p, q])]
+                    yield pa.RecordBatch.from_arrays(made, names=["a", "b", "similarity"]).filter(pc.not_equal(a, b))
+
+    return met.mapInArrow(stage, schema)
 
 
 def weave(v: DataFrame, known: DataFrame, lower: float, upper: float, limit: int) -> DataFrame:
