@@ -6,9 +6,10 @@ corpus is.  Bins with the same content are one class with a count.
 
 1. Best fit decreasing on classes: each length goes to the fullest class of bins
    that it fits, for as many bins as there are.
-2. Local search on the emptiest underfull bins: exchange one document for one,
-   two for one, or move one, whenever the sum of squared fills grows, until bins
-   empty and no move helps.
+2. Local search on all classes of underfull bins: exchange one document for one,
+   two for one, or move one, whenever the sum of squared fills grows, for as many
+   pairs of bins at once as the two classes have, until the lower bound is met,
+   no move helps or 40 passes are over.
 3. The plan's places are dealt out by the rank of a piece among the pieces of
    its length: ranks within a task come with the tokens, and a window over
    (task, length) counts adds the ranks before the task.
@@ -24,6 +25,7 @@ import pickle
 import uuid
 import zlib
 from array import array
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -41,8 +43,6 @@ CAPACITY = 2048
 MEMO = 1_000_000
 #: Bytes of text that are encoded at a time (a longer text is encoded by itself).
 BLOCK_BYTES = 1 << 23
-#: Underfull bins that local search works on, the emptiest first.
-SEARCH_BINS = 384
 _END = b"\0\0\0\0"
 _CLOSING = ".,!?;:"
 
@@ -219,46 +219,60 @@ def best_fit(histogram: dict[int, int], capacity: int = CAPACITY) -> dict[tuple[
 
 
 def local_search(bins: list[list[int]], capacity: int = CAPACITY, rounds: int = 40) -> list[list[int]]:
+    """``search_classes`` of single bins."""
+    found = search_classes(Counter(tuple(sorted(b, reverse=True)) for b in bins), capacity, rounds)
+    return [list(b) for b, n in found.items() for _ in range(n)]
+
+
+def search_classes(bins: dict[tuple[int, ...], int], capacity: int = CAPACITY, rounds: int = 40) -> dict[tuple[int, ...], int]:
     """Moves, swaps and two-for-one exchanges between bins that raise the sum of squared fills.
 
-    From the emptiest bin on, documents go to fuller bins: the largest gain
-    that still fits is taken each time.  A bin without documents is dropped.
+    From the emptiest class of bins on, documents go to fuller ones: the largest
+    gain that still fits is taken each time, for as many pairs of bins as the
+    two classes have.  A bin without documents is dropped.  It ends at the lower
+    bound, when no exchange helps or after ``rounds`` passes over all classes.
     """
-    bins = [sorted(b, reverse=True) for b in bins if b]
-    fill = [sum(b) for b in bins]
-    least = -(-sum(fill) // capacity)
+    count = Counter({b: n for b, n in bins.items() if b and n})
+    least = -(-sum(sum(b) * n for b, n in count.items()) // capacity)
+    spare = sum(count.values()) - least
+    barren: dict[tuple[int, ...], set[tuple[int, ...]]] = defaultdict(set)  # pairs without an exchange, which is for good
     for _ in range(rounds):
         better = False
-        if len(bins) <= least:
+        if spare <= 0:
             break
-        order = sorted(range(len(bins)), key=lambda i: fill[i])
-        for a in order:
-            for b in reversed(order):
-                if a == b or not bins[a] or not bins[b] or fill[b] < fill[a]:
-                    continue
-                gap = capacity - fill[b]
-                if not gap:
+        order = sorted((b for b, n in count.items() if n and sum(b) < capacity), key=lambda b: (sum(b), b))
+        for i, a in enumerate(order):
+            for b in reversed(order[i:]):
+                if not count[a]:
+                    break
+                n = count[a] // 2 if a == b else min(count[a], count[b])
+                if not n or b in barren[a]:
                     continue
-                best = _exchange(bins[a], bins[b], gap)
-                if best:
-                    gain, give, take = best
-                    for x in give:
-                        bins[a].remove(x)
-                    for x in take:
-                        bins[b].remove(x)
-                    bins[a] += take
-                    bins[b] += give
-                    fill[a] -= gain
-                    fill[b] += gain
+                best = _exchange(a, b, capacity - sum(b))
+                if not best:
+                    barren[a].add(b)
+                else:
+                    _, give, take = best
+                    count[a] -= n
+                    count[b] -= n
+                    for lost, got, own in ((give, take, a), (take, give, b)):
+                        left = list(own)
+                        for x in lost:
+                            left.remove(x)
+                        made = tuple(sorted(left + got, reverse=True))
+                        if made:
+                            count[made] += n
+                        else:
+                            spare -= n
                     better = True
         if not better:
             break
-        keep = [i for i in range(len(bins)) if bins[i]]
-        bins, fill = [bins[i] for i in keep], [fill[i] for i in keep]
-    return [sorted(b, reverse=True) for b in bins]
+        count = +count
+        barren = defaultdict(set, {a: known for a, known in barren.items() if a in count})
+    return dict(+count)
 
 
-def _exchange(emptier: list[int], fuller: list[int], gap: int) -> tuple[int, list[int], list[int]] | None:
+def _exchange(emptier: tuple[int, ...], fuller: tuple[int, ...], gap: int) -> tuple[int, list[int], list[int]] | None:
     """(gain, given, taken): what fills most of the fuller bin's gap."""
     best: tuple[int, list[int], list[int]] | None = None
     have = sorted(set(emptier))
@@ -277,7 +291,7 @@ def _exchange(emptier: list[int], fuller: list[int], gap: int) -> tuple[int, lis
         for i, x in enumerate(have):
             offer(x - y, [x], [y])
             # Two for one: the second as large as still fits.
-            room = np.searchsorted(have, gap + y - x, side="right") - 1
+            room = bisect_right(have, gap + y - x) - 1
             if 0 <= room <= i:
                 z = have[room]
                 if z != x or count[x] > 1:
@@ -285,24 +299,9 @@ def _exchange(emptier: list[int], fuller: list[int], gap: int) -> tuple[int, lis
     return best
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, search: int = SEARCH_BINS) -> dict[tuple[int, ...], int]:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> dict[tuple[int, ...], int]:
     """Classes of bins for a histogram of lengths: best fit, then local search."""
-    classes = best_fit(histogram, capacity)
-    total = sum(n * k for n, k in histogram.items())
-    least = -(-total // capacity)
-    if sum(classes.values()) <= least:
-        return classes
-    chosen: list[list[int]] = []
-    for bins in sorted((b for b in classes if sum(b) < capacity), key=sum):
-        take = min(classes[bins], search - len(chosen))
-        if take <= 0:
-            break
-        chosen += [list(bins)] * take
-        classes[bins] -= take
-    for bins in local_search(chosen, capacity):
-        key = tuple(bins)
-        classes[key] = classes.get(key, 0) + 1
-    return {b: n for b, n in classes.items() if n}
+    return search_classes(best_fit(histogram, capacity), capacity)
 
 
 def places(classes: dict[tuple[int, ...], int]) -> dict[int, tuple[np.ndarray, ...]]:
@@ -320,12 +319,12 @@ def places(classes: dict[tuple[int, ...], int]) -> dict[int, tuple[np.ndarray, .
     return {n: tuple(np.array(c) for c in zip(*r)) for n, r in rows.items()}
 
 
-def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", search: int = SEARCH_BINS) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset) of every piece."""
     cut = runtime.materialize(pieces(docs, path, capacity, id_col, text_col), "pieces")
     counts = cut.groupBy("task", "length").agg(F.count("*").alias("n"))
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
-    at = pickle.dumps(places(plan(histogram, capacity, search)))
+    at = pickle.dumps(places(plan(histogram, capacity)))
     shared = docs.sparkSession.sparkContext.broadcast(at)
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))

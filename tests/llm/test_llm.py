@@ -300,6 +300,14 @@ def test_packing_plan_places_everything_and_search_helps():
     assert packing.plan({}) == {}
 
 
+def test_packing_plan_saves_the_same_share_at_any_size():
+    for n in (300, 3000, 30_000):
+        mix = {800: n, 700: n, 548: n}
+        plan = packing.plan(mix)
+        assert sum(packing.best_fit(mix).values()) == n * 7 // 6
+        assert plan == {(800, 700, 548): n}
+
+
 def test_media(docs, none):
     def brute(t):
         b = t.encode()
