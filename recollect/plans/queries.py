@@ -153,6 +153,15 @@ def c15_nearest_centre(spark, sf):
     return S.nearest(v, c, 0.2).withColumn("similarity", r6(F.col("similarity")))
 
 
+@query("""WITH c AS (SELECT vec_id AS centre, embedding::double[] AS e FROM embeddings WHERE label = 0),
+s AS (SELECT v.vec_id AS id, c.centre, list_dot_product(v.embedding::double[], c.e) AS s FROM embeddings v, c WHERE v.label <> 0)
+SELECT id, centre, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, centre) AS rn FROM s) WHERE rn = 1 AND s >= 0.2""")
+def c15_nearest_of_class(spark, sf):
+    v = T.vectors(spark, sf)
+    c = v.where("label = 0").select(F.col("id").alias("centre"), F.col("embedding").alias("centre_vector"))
+    return S.nearest(v.where("label <> 0"), c, 0.2).withColumn("similarity", r6(F.col("similarity")))
+
+
 @query(f"WITH {NODES}, h AS (SELECT id, source, {HASH.format('content')} AS h FROM nodes) SELECT id FROM h WHERE source = 'src1' AND h NOT IN (SELECT h FROM h WHERE source <> 'src1')")
 def c16_hash_guard(spark, sf):
     h = T.nodes(spark, sf).select("id", "source", text.content_hash(F.col("content")).alias("h"))
