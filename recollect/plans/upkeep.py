@@ -211,6 +211,19 @@ def c5_seed_expansion(spark, sf):
     return K.expand_seeds(seeds, entries, T.hierarchy(spark, sf)).withColumn("score", r6(F.col("score")))
 
 
+@query(f"""WITH {EDGES}, seeds AS (SELECT 'o:' || o_orderkey AS id, 1.0 / (1 + o_orderkey % 7) AS score, row_number() OVER (ORDER BY o_orderkey) AS rank FROM orders WHERE o_orderkey % 50 = 0),
+entries AS (SELECT 'o:' || l_orderkey AS summary_id, 's:' || l_suppkey AS node_id, l_linenumber AS rank, l_discount * 10 AS weight FROM lineitem),
+via AS (SELECT e.node_id AS t, s.score * 0.9 * greatest(0.1, weight) / e.rank AS s FROM seeds s JOIN entries e ON e.summary_id = s.id),
+two AS (SELECT source_id AS id, target_id AS t FROM edges UNION ALL SELECT target_id, source_id FROM edges),
+walked AS (SELECT t, arg_min(score, rank) * 0.6 AS s FROM seeds JOIN two ON seeds.id = two.id WHERE seeds.id NOT IN (SELECT summary_id FROM entries) GROUP BY t)
+SELECT t AS id, round(max(s), 6) AS score FROM (SELECT * FROM via UNION ALL SELECT * FROM walked) WHERE t NOT IN (SELECT id FROM seeds) GROUP BY t""")
+def c5_whole_index_expansion(spark, sf):
+    key = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    seeds = T.table(spark, sf, "orders").where("o_orderkey % 50 = 0").select(key("o:", "o_orderkey").alias("id"), (1.0 / (1 + F.col("o_orderkey") % 7)).alias("score"), F.col("o_orderkey").alias("rank"))
+    entries = T.table(spark, sf, "lineitem").select(key("o:", "l_orderkey").alias("summary_id"), key("s:", "l_suppkey").alias("node_id"), F.col("l_linenumber").alias("rank"), (F.col("l_discount") * 10).alias("weight"))
+    return K.expand_seeds(seeds, entries, T.hierarchy(spark, sf)).withColumn("score", r6(F.col("score")))
+
+
 @query("WITH v AS (SELECT source, lang, max(doc_id) AS t FROM documents GROUP BY 1, 2), l AS (SELECT source, arg_max(lang, t) AS lang FROM v GROUP BY 1) SELECT d.doc_id FROM documents d JOIN l ON d.source = l.source WHERE d.lang <> l.lang")
 def e5_stale_versions(spark, sf):
     return K.stale_versions(T.table(spark, sf, "documents"), "source", "lang", "doc_id", "doc_id")
