@@ -49,9 +49,12 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     caps = (size > 1) & (upper[w.ends] - upper[w.starts] == size)
     same = np.zeros(len(words), bool)
     same[1:] = h[1:] == h[:-1]
-    p = _PUNCT[data] if len(data) else np.zeros(0, bool)
-    runs = np.flatnonzero(p & ~np.concatenate([[False], p[:-1]])) if len(data) else np.zeros(0, np.int64)
-    stops = np.flatnonzero(p & ~np.concatenate([p[1:], [False]])) + 1 if len(data) else runs
+    same[w.first[:-1][np.diff(w.first) > 0]] = False  # a document's first word has none before it
+    p = _PUNCT[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True  # runs end with their document
+    before, behind = np.concatenate([[False], p])[:-1] & ~edge[:-1], np.concatenate([p, [False]])[1:] & ~edge[1:]
+    runs, stops = np.flatnonzero(p & ~before), np.flatnonzero(p & ~behind) + 1
     # A run's word is its first byte and its length, up to three.
     marks = ((data[runs].astype(np.int64) * 3 + np.minimum(stops - runs, 3)) * 2654435761 % (VOCAB - 2)) + 2
     at = np.concatenate([w.starts * 4, w.starts[same] * 4 + 1, w.starts[caps] * 4 + 2, runs * 4])
@@ -157,13 +160,13 @@ def probabilities(col: pa.Array, model: dict | None) -> np.ndarray:
         if some.any():
             sums[some] = np.add.reduceat(table[code], cuts[:-1][some], axis=0)
         x = (sums / np.maximum(1, sizes)[:, None] - off) * (sizes / (sizes + SHRINK))[:, None]
-        out[first:last] = linear.sigmoid((np.tanh(x + b1) @ w2 + b2) / model["temperature"])
+        out[first:last] = linear.sigmoid(((np.tanh(x + b1) * w2).sum(axis=1) + b2) / model["temperature"])  # a sum for each row, so no text's last bits depend on the others
     return out
 
 
 def train(docs: DataFrame, labels: DataFrame, use=None, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", bound: int = MAX_TRAIN_ROWS) -> dict | None:
     """Fit on at most ``bound`` labelled documents for which the column ``use`` holds."""
-    sample = runtime.bounded_labels(labels, label, F.lit(True) if use is None else use, bound, id_col)
+    sample = runtime.bounded_labels(labels, label, F.lit(True) if use is None else use, bound, id_col, docs)
     texts = runtime.labelled_texts(docs, sample, id_col, text_col)
 
     def kernel(col: pa.Array) -> list:

@@ -91,12 +91,16 @@ def _codes(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.n
         same = h[1:] == h[:-1]
         pair = (blocks.mix(h[:-1] + (h[1:] << np.uint64(1)), 4) & np.uint64((1 << WORD_BITS) - 1)).astype(np.int64)
         two[1:] = np.where(same, 0, np.maximum(pair, 1))  # code 0: a word after itself
-        starts = w.first[:-1][np.diff(w.first) > 0]
-        two[starts] = one[starts]
+    starts = w.first[:-1][np.diff(w.first) > 0]
+    two[starts] = one[starts]
+    # Behind a document's end stand zeros, so no trigram holds a byte of the next one.
     chars = data.astype(np.uint32)
-    tri = np.zeros(len(data), np.uint32)
-    if len(data) > 2:
-        tri[:-2] = chars[:-2] * np.uint32(0x9E3779B1) + chars[1:-1] * np.uint32(0x85EBCA77) + chars[2:] * np.uint32(0xC2B2AE3D)
+    second, third = np.append(chars[1:], np.uint32(0))[: len(chars)], np.append(chars[2:], np.zeros(2, np.uint32))[: len(chars)]
+    sizes = np.diff(offsets)
+    second[offsets[1:][sizes > 0] - 1] = 0
+    third[offsets[1:][sizes > 0] - 1] = 0
+    third[offsets[1:][sizes > 1] - 2] = 0
+    tri = chars * np.uint32(0x9E3779B1) + second * np.uint32(0x85EBCA77) + third * np.uint32(0xC2B2AE3D)
     tri ^= tri >> np.uint32(15)
     tri *= np.uint32(0x2C1B3C6D)
     c = (tri >> np.uint32(32 - CHAR_BITS)).astype(np.int64) + (1 << WORD_BITS)
@@ -152,7 +156,7 @@ def probabilities(col: pa.Array, model: dict) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, use=None, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", bound: int = MAX_TRAIN_ROWS) -> dict:
     """Fit on at most ``bound`` labelled documents for which the column ``use`` holds."""
-    sample = runtime.bounded_labels(labels, label, F.lit(True) if use is None else use, bound, id_col)
+    sample = runtime.bounded_labels(labels, label, F.lit(True) if use is None else use, bound, id_col, docs)
     texts = runtime.labelled_texts(docs, sample, id_col, text_col)
     got = runtime.map_text(texts, lambda col: [[v.astype(np.float16).tobytes() for v in vectors(col)]], [("v", "binary")], keep=("y",)).toArrow()
     y = got.column("y").to_numpy().astype(float)

@@ -116,15 +116,18 @@ def crc_of_id(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(_q(id_col)).cast("string"), F.lit("")).cast("binary"))
 
 
-def bounded_labels(labels: DataFrame, label: str, train: Column, bound: int, id_col: str = "doc_id") -> DataFrame:
+def bounded_labels(labels: DataFrame, label: str, train: Column, bound: int, id_col: str = "doc_id", docs: DataFrame | None = None) -> DataFrame:
     """At most ``bound`` labelled ids for which ``train`` holds, by a hash of the id.
 
-    Rows with a null id or label don't count; an id with several labels takes
-    the largest.  The bound makes the result small enough to broadcast.
+    Rows with a null id or label don't count, nor, if ``docs`` is given, ids
+    that aren't among its; an id with several labels takes the largest.  The
+    bound makes the result small enough to broadcast.
     """
     rows = labels.select(F.col(_q(id_col)).alias("id"), F.col(_q(label)).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isNotNull())
     rows = rows.withColumnRenamed("id", id_col).where(train)
     rows = rows.groupBy(id_col).agg(F.max("y").alias("y"))
+    if docs is not None:  # ids alone are shuffled
+        rows = rows.join(docs.select(F.col(_q(id_col)).alias("_there")).where("_there IS NOT NULL").distinct(), F.col(id_col) == F.col("_there"), "left_semi")
     return rows.orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).limit(bound)
 
 

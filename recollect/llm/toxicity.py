@@ -9,7 +9,7 @@ the squared change of the score is added to the loss, so the names themselves
 carry no weight; what is left is what is said about them.
 
 Defined results: null and empty texts score as a text without features; with no
-usable labels every score is 0.0; repeated rows score alike; extra columns are
+usable labels every score is the least that the sigmoid gives (below 1e-17); repeated rows score alike; extra columns are
 ignored; an empty table gives an empty result.
 """
 
@@ -164,7 +164,7 @@ def score_texts(col: pa.Array, table: np.ndarray, bias: float, scale: tuple[floa
 def train(docs: DataFrame, labels: DataFrame, use=None, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", bound: int = MAX_TRAIN_ROWS) -> dict:
     """Fit on at most ``bound`` labelled documents for which the column ``use`` holds."""
     use = F.lit(True) if use is None else use
-    sample = runtime.bounded_labels(labels, label, use, bound, id_col)
+    sample = runtime.bounded_labels(labels, label, use, bound, id_col, docs)
     texts = runtime.labelled_texts(docs, sample, id_col, text_col)
     got = runtime.map_text(texts, lambda col: [[f.tobytes() for f in features(col)]], [("codes", "binary")], keep=("y",)).toArrow()
     y = got.column("y").to_numpy().astype(float)
