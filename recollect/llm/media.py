@@ -8,8 +8,8 @@ has ``MASK_BITS`` zero bits (between ``MIN_CHUNK`` and ``MAX_CHUNK`` bytes).
 Storage: an item is a distinct media file, by its digest.  Each chunk digest is
 owned by the item of the smallest digest that has it, found by Spark
 aggregation and joins over digests alone (no payload moves for it).  The store
-is a Parquet table with a row for each item: the ordered chunk list and the data
-of the chunks that it owns, compressed.  An item's bytes are put together from
+is a Parquet table with a row for each item: the file header, the ordered chunk
+list and the data of the chunks that it owns, compressed.  An item's bytes are put together from
 its own chunks and those fetched, by joins, from their owners; every chunk and
 the whole file are verified by digest before features are computed.
 
@@ -37,6 +37,8 @@ FILL = 255
 RATE = 8000
 TAIL = 32
 MIN_CHUNK, MAX_CHUNK, MASK_BITS = 512, 8192, 11
+#: Borrowers of a chunk that one task serves, about.
+SHARE = 1000
 _WINDOW = 32
 _HEADER = 44
 
@@ -126,15 +128,18 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return runtime.map_text(docs, kernel, [("n_bytes", "bigint"), ("item", "binary"), ("chunks", "array<binary>")], text_col, (id_col,))
 
 
-def foreign_chunks(listed: DataFrame) -> DataFrame:
-    """(item, chunk, owner): chunks that an item has and another item owns.
+def foreign_chunks(listed: DataFrame, share: int = SHARE, salts: int = 16) -> DataFrame:
+    """(item, chunk, owner, shares): chunks that an item has and another item owns.
 
     ``listed`` has (item, chunks) for distinct items.  Owners come from an
-    aggregation over digests; only chunks in several items are joined back.
+    aggregation over digests; only chunks in several items are joined back, a
+    crowded one in ``salts`` tasks.  ``shares`` is in how many parts a chunk's
+    borrowers are dealt, about ``share`` items each.
     """
-    has = listed.select("item", F.explode(F.array_distinct("chunks")).alias("chunk"))
-    shared = has.groupBy("chunk").agg(F.min("item").alias("owner"), F.count("*").alias("n")).where("n > 1").select("chunk", "owner")
-    return has.join(shared, "chunk").where("item <> owner").select("item", "chunk", "owner")
+    has = listed.select("item", F.explode(F.array_distinct("chunks")).alias("chunk")).withColumn("salt", F.pmod(F.xxhash64("item"), F.lit(salts)))
+    shared = has.groupBy("chunk").agg(F.min("item").alias("owner"), F.count("*").alias("n")).where("n > 1")
+    shared = shared.select("chunk", "owner", F.ceil(F.col("n") / share).cast("int").alias("shares"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("salt"))
+    return has.join(shared, ["chunk", "salt"]).where("item <> owner").select("item", "chunk", "owner", "shares")
 
 
 def _pack(data: bytes) -> bytes:
@@ -146,9 +151,9 @@ def _unpack(packed: bytes, size: int) -> bytes:
 
 
 def store(docs: DataFrame, foreign: DataFrame, text_col: str = "text") -> DataFrame:
-    """Write and reread the store: (item, foreign, lent, chunks, sizes, own), a row for each distinct item.
+    """Write and reread the store: (item, foreign, lent, header, chunks, sizes, own), a row for each distinct item.
 
-    ``foreign`` are the chunks that it borrows and ``lent`` those that others
+    ``header`` is what stands before the samples in the file.  ``foreign`` are the chunks that it borrows and ``lent`` those that others
     borrow from it (null: none), so that readers need no join to tell.  ``chunks`` and ``sizes`` are the ordered chunk list; ``own`` is the data of
     the item's own chunks (each once, in order).  What is shuffled is compressed
     media, once; the table's own compression works across items.
@@ -160,24 +165,25 @@ def store(docs: DataFrame, foreign: DataFrame, text_col: str = "text") -> DataFr
 
     texts = runtime.map_text(docs, kernel, [("item", "binary"), ("size", "bigint"), ("packed", "binary")], text_col, ())
     borrows = foreign.groupBy("item").agg(F.collect_set("chunk").alias("foreign"))
-    lends = foreign.groupBy(F.col("owner").alias("item")).agg(F.collect_set("chunk").alias("lent"))
+    lends = foreign.groupBy(F.col("owner").alias("item")).agg(F.collect_set(F.struct("chunk", "shares")).alias("lent"))
     rows = texts.dropDuplicates(["item"]).join(borrows.join(lends, "item", "full"), "item", "left").select("item", "size", "packed", "foreign", "lent")
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            chunks, sizes, owns = [], [], []
+            headers, chunks, sizes, owns = [], [], [], []
             for size, packed, other in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
                 data = _unpack(packed, size)
                 ends = cuts(data)
                 parts = [data[a:b] for a, b in zip([0, *ends], ends)]
                 names = [_digest(p) for p in parts]
+                headers.append(wav(data)[:_HEADER])
                 chunks.append(names)
                 sizes.append([len(p) for p in parts])
                 skip = set(other or ())
                 owns.append(b"".join([p for c, p in dict(zip(names, parts)).items() if c not in skip]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), batch.column(4), pa.array(chunks, pa.list_(pa.binary())), pa.array(sizes, pa.list_(pa.int32())), pa.array(owns, pa.binary())], names=["item", "foreign", "lent", "chunks", "sizes", "own"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), batch.column(4), pa.array(headers, pa.binary()), pa.array(chunks, pa.list_(pa.binary())), pa.array(sizes, pa.list_(pa.int32())), pa.array(owns, pa.binary())], names=["item", "foreign", "lent", "header", "chunks", "sizes", "own"])
 
-    return runtime.materialize(rows.mapInArrow(stage, "item binary, foreign array<binary>, lent array<binary>, chunks array<binary>, sizes array<int>, own binary"), "media", level=6)
+    return runtime.materialize(rows.mapInArrow(stage, "item binary, foreign array<binary>, lent array<struct<chunk: binary, shares: int>>, header binary, chunks array<binary>, sizes array<int>, own binary"), "media", level=6)
 
 
 def _own_chunks(chunks: list[bytes], sizes: list[int], foreign: list[bytes] | None, own: bytes) -> dict[bytes, bytes]:
@@ -196,26 +202,30 @@ def _own_chunks(chunks: list[bytes], sizes: list[int], foreign: list[bytes] | No
 def fetched(stored: DataFrame, foreign: DataFrame) -> DataFrame:
     """(item, parts): for items with foreign chunks, those chunks' data, from their owners.
 
-    Only owners that lend chunks are unpacked, and only lent chunks move.
+    Only owners that lend chunks are unpacked, and only lent chunks move, those
+    of many borrowers once for each share of these.
     """
     owners = stored.where("lent IS NOT NULL").select("foreign", "chunks", "sizes", "own", "lent")
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, data = [], []
+            names, salts, data = [], [], []
             for other, chunks, sizes, own, lent in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 have = _own_chunks(chunks, sizes, other, own)
-                names += lent
-                data += [_pack(have[c]) for c in lent]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(data, pa.binary())], names=["chunk", "data"])
+                for chunk, shares in [(x["chunk"], x["shares"]) for x in lent]:
+                    names += [chunk] * shares
+                    salts += range(shares)
+                    data += [_pack(have[chunk])] * shares
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(salts, pa.int64()), pa.array(data, pa.binary())], names=["chunk", "salt", "data"])
 
-    parts = owners.mapInArrow(stage, "chunk binary, data binary")
-    return foreign.select("item", "chunk").join(parts, "chunk").groupBy("item").agg(F.collect_list(F.struct("chunk", "data")).alias("parts"))
+    parts = owners.mapInArrow(stage, "chunk binary, salt bigint, data binary")
+    borrowed = foreign.select("item", "chunk", F.pmod(F.xxhash64("item"), F.col("shares").cast("bigint")).alias("salt"))
+    return borrowed.join(parts, ["chunk", "salt"]).groupBy("item").agg(F.collect_list(F.struct("chunk", "data")).alias("parts"))
 
 
 def read_back(stored: DataFrame, foreign: DataFrame, with_media: bool = False) -> DataFrame:
     """Each item's bytes put together and verified, and their digests and features."""
-    cols = ["item", "foreign", "chunks", "sizes", "own"]
+    cols = ["item", "foreign", "header", "chunks", "sizes", "own"]
     whole = stored.where("foreign IS NULL").select(*cols)  # stays where it is stored: no shuffle
     mended = stored.where("foreign IS NOT NULL").select(*cols).join(fetched(stored, foreign), "item", "left").select(*cols, "parts")
     names = ["item", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"] + ["media"] * with_media
@@ -223,12 +233,12 @@ def read_back(stored: DataFrame, foreign: DataFrame, with_media: bool = False) -
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for item, other, chunks, sizes, own, parts in zip(*(c.to_pylist() for c in batch.columns)):
+            for item, other, header, chunks, sizes, own, parts in zip(*(c.to_pylist() for c in batch.columns)):
                 have = _own_chunks(chunks, sizes, other, own)
                 size = dict(zip(chunks, sizes))
                 for p in parts or ():
                     have[p["chunk"]] = _unpack(p["data"], size[p["chunk"]])
-                media = wav(b"".join([have[c] for c in chunks]))
+                media = header + b"".join([have[c] for c in chunks])
                 if hashlib.sha256(media).digest() != item:
                     raise ValueError("reconstructed media doesn't have its digest")
                 data = samples_of(media)
