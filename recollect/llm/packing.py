@@ -8,8 +8,8 @@ corpus is.  Bins with the same content are one class with a count.
    that it fits, for as many bins as there are.
 2. Local search on all classes of underfull bins: exchange one document for one,
    two for one, or move one, whenever the sum of squared fills grows, for as many
-   pairs of bins at once as the two classes have, until the lower bound is met,
-   no move helps or 40 passes are over.
+   pairs of bins at once as the two classes have, until the lower bound is met
+   or no move helps.
 3. The plan's places are dealt out by the rank of a piece among the pieces of
    its length: ranks within a task come with the tokens, and a window over
    (task, length) counts adds the ranks before the task.
@@ -218,28 +218,28 @@ def best_fit(histogram: dict[int, int], capacity: int = CAPACITY) -> dict[tuple[
     return dict(out)
 
 
-def local_search(bins: list[list[int]], capacity: int = CAPACITY, rounds: int = 40) -> list[list[int]]:
+def local_search(bins: list[list[int]], capacity: int = CAPACITY) -> list[list[int]]:
     """``search_classes`` of single bins."""
-    found = search_classes(Counter(tuple(sorted(b, reverse=True)) for b in bins), capacity, rounds)
+    found = search_classes(Counter(tuple(sorted(b, reverse=True)) for b in bins), capacity)
     return [list(b) for b, n in found.items() for _ in range(n)]
 
 
-def search_classes(bins: dict[tuple[int, ...], int], capacity: int = CAPACITY, rounds: int = 40) -> dict[tuple[int, ...], int]:
+def search_classes(bins: dict[tuple[int, ...], int], capacity: int = CAPACITY) -> dict[tuple[int, ...], int]:
     """Moves, swaps and two-for-one exchanges between bins that raise the sum of squared fills.
 
     From the emptiest class of bins on, documents go to fuller ones: the largest
     gain that still fits is taken each time, for as many pairs of bins as the
     two classes have.  A bin without documents is dropped.  It ends at the lower
-    bound, when no exchange helps or after ``rounds`` passes over all classes.
+    bound or when no exchange helps; each exchange raises a sum of whole numbers
+    that is bounded, so one of the two comes.
     """
     count = Counter({b: n for b, n in bins.items() if b and n})
     least = -(-sum(sum(b) * n for b, n in count.items()) // capacity)
     spare = sum(count.values()) - least
     barren: dict[tuple[int, ...], set[tuple[int, ...]]] = defaultdict(set)  # pairs without an exchange, which is for good
-    for _ in range(rounds):
+    better = True
+    while better and spare > 0:
         better = False
-        if spare <= 0:
-            break
         order = sorted((b for b, n in count.items() if n and sum(b) < capacity), key=lambda b: (sum(b), b))
         for i, a in enumerate(order):
             for b in reversed(order[i:]):
@@ -265,8 +265,6 @@ def search_classes(bins: dict[tuple[int, ...], int], capacity: int = CAPACITY, r
                         else:
                             spare -= n
                     better = True
-        if not better:
-            break
         count = +count
         barren = defaultdict(set, {a: known for a, known in barren.items() if a in count})
     return dict(+count)

@@ -121,18 +121,19 @@ def _stars(nodes: DataFrame) -> DataFrame:
     return ball.join(least, "value").where((F.col("fp") > F.col("least")) & _close(F.col("fp"), F.col("least"))).select(F.col("least").alias("a"), F.col("fp").alias("b")).distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of ``edges`` (a, b) is connected to.
 
     Rounds of taking the smallest label around and then the label's label
     (pointer jumping); each round is a written table, so no lineage grows and
-    nothing but a count reaches the driver.
+    nothing but a count reaches the driver.  Labels only fall, so it ends; a
+    chain halves each round.
     """
     both = runtime.materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = runtime.materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).select(F.col("a").alias("node"), "root"), "labels")
     if labels.isEmpty():
         return labels
-    for _ in range(max_rounds):
+    while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("root").alias("near"))
         met = labels.join(near, labels.node == near.a, "left").select("node", F.col("root").alias("old"), F.least("root", F.coalesce("near", "root")).alias("root"))
         jump = labels.select(F.col("node").alias("j"), F.col("root").alias("next"))
@@ -142,7 +143,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         labels = new.select("node", "root")
         if not changed:
             return labels
-    raise RuntimeError(f"components didn't settle in {max_rounds} rounds")
 
 
 def group(prints: DataFrame, id_col: str = "doc_id", bucket: int = BUCKET) -> DataFrame:

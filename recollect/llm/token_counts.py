@@ -26,7 +26,8 @@ from . import runtime
 
 MARK = "▁"
 LIMIT = 4096
-MEMO = 400_000
+#: Pre-tokens that a worker remembers, and their characters, at most (besides one batch).
+MEMO, MEMO_CHARS = 400_000, 32_000_000
 _SEGMENT = re.compile(f"{MARK}+[^{MARK}]*")
 
 
@@ -70,13 +71,15 @@ class Counter:
     def reset(self) -> None:
         self.known = dict.fromkeys(self.whole, 1)
         self.known[""] = 1  # a space mark alone
+        self.held = 0
 
     def counts(self, texts: list[str]) -> list[int]:
         split = [pretokens(t) for t in texts]
         rest = list(set().union(*split).difference(self.known))
-        if len(self.known) + len(rest) > self.limit + len(self.whole):
+        if len(self.known) + len(rest) > self.limit + len(self.whole) or self.held > MEMO_CHARS:
             self.reset()
             rest = list(set().union(*split).difference(self.known))
+        self.held += sum(map(len, rest))
         self.known.update(zip(rest, map(len, self.sp.encode(rest, num_threads=1))))
         get = self.known.__getitem__
         return [sum(map(get, words)) for words in split]
