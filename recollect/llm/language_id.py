@@ -3,9 +3,12 @@
 Counting: every document that may be learned from adds its n-grams of one to
 three characters (lower-cased; ASCII characters other than letters count as
 spaces) to the counts of its language, in numpy within each Arrow batch, and
-Spark sums the partial counts.  The counts of all languages are a bounded
-matrix (``2 ** BITS`` rows, at most ``MAX_LANGUAGES`` columns).  Scoring adds
-up the matrix's log-probability rows for the n-grams of each text.
+Spark sums the partial counts.  Log-probabilities are a bounded matrix
+(``2 ** BITS`` rows, at most ``MAX_LANGUAGES`` columns).  Scoring adds up the
+matrix's rows for the n-grams of each text.  More languages make more matrices,
+which are fetched and broadcast one after another; each text carries the best
+language and the sum of probabilities from one to the next, so the result is
+that of one wide matrix.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0;
 with nothing to learn from, every text is; ties go to the first language in
@@ -28,6 +31,7 @@ BITS = 15
 SIZE = 1 << BITS
 ORDERS = (1, 2, 3)
 ALPHA = 0.5
+#: Languages of one matrix.
 MAX_LANGUAGES = 256
 UNKNOWN = "und"
 _PLAIN = np.arange(128, dtype=np.uint32)
@@ -88,29 +92,32 @@ def count(docs: DataFrame, use=None, lang_col: str = "lang", text_col: str = "te
     return d.mapInArrow(stage, "lang string, code int, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
-def model_of(counts: DataFrame) -> dict:
-    """Log-probability matrix of summed counts; at most ``MAX_LANGUAGES`` languages."""
-    many = counts.where("code = -1").count()
-    if many > MAX_LANGUAGES:
-        raise ValueError(f"{many} languages; the log-probability matrix holds {MAX_LANGUAGES}")
-    got = counts.toArrow()
-    names = got.column("lang").to_pylist()
-    langs = sorted(set(names))
-    m = np.zeros((SIZE + 1, len(langs)))
-    at = {x: i for i, x in enumerate(langs)}
-    m[got.column("code").to_numpy(), np.array([at[x] for x in names], np.int64) if names else []] = got.column("n").to_numpy()
-    if not langs:
+def model_of(counts: DataFrame, most: int = MAX_LANGUAGES) -> dict:
+    """Log-probability matrix of summed counts, of the first ``most`` languages; ``rest``: how to get the others."""
+    counts = runtime.materialize(counts, "grams")
+    langs = [r.lang for r in counts.where("code = -1").select("lang").orderBy("lang").collect()]  # one row a language
+    total = counts.where("code = -1").agg(F.sum("n")).first()[0] or 0
+    return _matrix(counts, langs, 0, most, total)
+
+
+def _matrix(counts: DataFrame, langs: list[str], first: int, most: int, total: int) -> dict:
+    own = langs[first : first + most]
+    got = counts.where((F.col("lang") >= own[0]) & (F.col("lang") <= own[-1])).toArrow() if own else None
+    m = np.zeros((SIZE + 1, len(own)))
+    if got is None:
         return {"langs": [], "logp": np.zeros((SIZE, 0)), "prior": np.zeros(0)}
-    docs = m[SIZE]
+    at = {x: i for i, x in enumerate(own)}
+    m[got.column("code").to_numpy(), [at[x] for x in got.column("lang").to_pylist()]] = got.column("n").to_numpy()
     logp = np.log(m[:SIZE] + ALPHA) - np.log(m[:SIZE].sum(axis=0) + ALPHA * SIZE)
-    return {"langs": langs, "logp": np.ascontiguousarray(logp), "prior": np.log(docs / docs.sum())}
+    model = {"langs": own, "logp": np.ascontiguousarray(logp), "prior": np.log(m[SIZE] / total)}
+    if first + most < len(langs):
+        model["rest"] = lambda: _matrix(counts, langs, first + most, most, total)
+    return model
 
 
-def predict_texts(col: pa.Array, model: dict) -> tuple[list[str], np.ndarray]:
+def _log_scores(col: pa.Array, model: dict) -> np.ndarray:
+    """Log of prior times likelihood, a row for each text and a column for each language."""
     langs, logp = model["langs"], model["logp"]
-    letters = np.asarray(pc.match_substring_regex(col, r"\p{L}"))
-    if not langs:
-        return [UNKNOWN] * len(col), np.zeros(len(col))
     z = np.empty((len(col), len(langs)))
     table = np.concatenate([logp, np.zeros((1, len(langs)))])
     for first, last, chars, offsets in _characters(col):
@@ -123,20 +130,70 @@ def predict_texts(col: pa.Array, model: dict) -> tuple[list[str], np.ndarray]:
             code[doc[: len(code)] != doc[k - 1 :]] = SIZE  # n-grams across documents count nothing
             values[: len(code)] += table[code]
         z[first:last] = model["prior"] + (blocks.segment_sums(values, offsets) if values is not None else 0.0)
+    return z
+
+
+def predict_texts(col: pa.Array, model: dict, so_far: tuple | None = None) -> tuple:
+    """(languages, scores) of texts; with ``so_far`` or more matrices to come (languages, logs of the best, sums) instead.
+
+    ``so_far`` are the languages, the best log score and the sum of scores over
+    the best, from the matrices before.
+    """
+    if not model["langs"]:
+        return [UNKNOWN] * len(col), np.zeros(len(col))
+    z = _log_scores(col, model)
     best = z.argmax(axis=1)
     top = z[np.arange(len(z)), best]
-    score = 1 / np.exp(z - top[:, None]).sum(axis=1)
-    return [langs[b] if ok else UNKNOWN for b, ok in zip(best, letters)], np.where(letters, np.minimum(score, 1.0), 0.0)
+    total = np.exp(z - top[:, None]).sum(axis=1)
+    names = [model["langs"][b] for b in best]
+    if so_far is not None:
+        known, other, held = so_far
+        both = np.maximum(top, other)
+        total = total * np.exp(top - both) + held * np.exp(other - both)
+        names = [a if o >= t else b for a, b, o, t in zip(known, names, other, top)]
+        top = both
+    if so_far is not None or "rest" in model:
+        return names, top, total
+    return finish(col, names, total)
+
+
+def finish(col: pa.Array, names: list[str], total: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Languages and scores, with ``und`` for texts without a letter."""
+    letters = np.asarray(pc.match_substring_regex(col, r"\p{L}"))
+    return [n if ok else UNKNOWN for n, ok in zip(names, letters)], np.where(letters, np.minimum(1 / total, 1.0), 0.0)
+
+
+def _predicted(docs: DataFrame, model: dict, cols: list[str], text_col: str) -> DataFrame:
+    """``cols`` of ``docs`` by position (c0, c1, ...) with lang_pred and score."""
+    own = docs.select(*[F.col(runtime._q(c)).alias(f"c{i}") for i, c in enumerate(cols)], F.col(runtime._q(text_col)).cast("string").alias("t"))
+    keep = [f"c{i}" for i in range(len(cols))]
+    if "rest" not in model:
+        return runtime.map_text(own, lambda col: list(predict_texts(col, model)), [("lang_pred", "string"), ("score", "double")], "t", keep)
+    fields = [("lang_pred", "string"), ("top", "double"), ("total", "double")]
+    at = runtime.map_text(own, _part_kernel(model), fields, "t", [*keep, "t"])
+    while "rest" in model:
+        model = model["rest"]()
+        at = _next_matrix(at, {k: v for k, v in model.items() if k != "rest"}, [*keep, "t"])
+    return runtime.map_batch(at, lambda b: list(finish(blocks.no_nulls(b[len(keep)]), b[len(keep) + 1].to_pylist(), b[len(keep) + 3].to_numpy())), [("lang_pred", "string"), ("score", "double")], keep)
+
+
+def _part_kernel(model: dict):
+    plain = {k: v for k, v in model.items() if k != "rest"} | {"rest": None}
+    return lambda col: list(predict_texts(col, plain))
+
+
+def _next_matrix(at: DataFrame, model: dict, keep: list[str]) -> DataFrame:
+    n = len(keep)
+    return runtime.map_batch(at, lambda b: list(predict_texts(blocks.no_nulls(b[n - 1]), model, (b[n].to_pylist(), b[n + 1].to_numpy(), b[n + 2].to_numpy()))), [("lang_pred", "string"), ("top", "double"), ("total", "double")], keep)
 
 
 def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) of every document; no shuffle."""
-    return runtime.map_text(docs, lambda col: list(predict_texts(col, model)), [("lang_pred", "string"), ("score", "double")], text_col, (id_col,))
+    return _predicted(docs, model, [id_col], text_col).withColumnRenamed("c0", id_col)
 
 
 def keep_identified(docs: DataFrame, model: dict, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The documents whose language is identified with a score of at least ``least``, with all their columns."""
     cols = list(docs.columns)
-    keep = lambda r: pa.array([x != UNKNOWN for x in r[0]], pa.bool_()) if not len(r[1]) else pa.array((np.array(r[0]) != UNKNOWN) & (r[1] >= least))
-    made = runtime.map_text(docs, lambda col: list(predict_texts(col, model)), [("lang_pred", "string"), ("score", "double")], text_col, cols, condition=keep)
-    return made.toDF(*[f"c{i}" for i in range(len(cols) + 2)]).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(cols)])
+    made = _predicted(docs, model, cols, text_col).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return made.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(cols)])

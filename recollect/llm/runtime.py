@@ -101,6 +101,23 @@ def map_text(
     return inner.mapInArrow(stage, out).toDF(*keep, *[name for name, _ in fields])
 
 
+def map_batch(df: DataFrame, kernel: Callable[[list], list], fields: list[tuple[str, str]], keep: list[str]) -> DataFrame:
+    """Run ``kernel`` over the columns of Arrow batches; the result has ``keep``, which come first in ``df``, plus ``fields``."""
+    share_package(df.sparkSession)
+    out = T.StructType([df.schema[c] for c in keep])
+    for name, kind in fields:
+        out.add(name, T.DataType.fromDDL(kind))
+    kinds = _arrow_types(out)
+
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                cols = [*batch.columns[: len(keep)], *kernel(batch.columns)]
+                yield pa.RecordBatch.from_arrays([c.cast(t) if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, kinds)], names=out.names)
+
+    return df.mapInArrow(stage, out)
+
+
 def _arrow_types(schema: T.StructType) -> list[pa.DataType]:
     from pyspark.sql.pandas.types import to_arrow_type
 
