@@ -22,27 +22,35 @@ import base64
 import hashlib
 import heapq
 import json
-import re
+import uuid
 from array import array
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import runtime
+from . import blocks, runtime
+from .merges import LONGEST, Merges
 
 #: Words of the broadcast dictionary, at most.
 HOT_WORDS = 1 << 17
 #: Longer words aren't folded in Spark: the fold copies the word's pieces at each merge.
 FOLD_BYTES = 48
-MEMO = 300_000
+#: Bytes that a worker's memo of chunks and words may take, about; it starts anew beyond them.
+MEMO_BYTES = 200_000_000
+#: Bytes of text that are split at a time (a longer text is split by itself).
+BLOCK_BYTES = 1 << 23
 _BUCKETS = 1 << 14
 _NONE = 2**31 - 1
 _SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_PAIR = re.compile(r"\s\s")
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: In a pattern with this part a run of letters is one match, and one punctuation mark behind it another.
+_LETTERS_ALONE = r"| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|"
+_LATIN = "\u0250"
+_CLOSING = (".", ",", "!", "?", ";", ":")
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -72,14 +80,6 @@ def compile_pattern(pattern: str):
     return regex.compile("".join(out))
 
 
-def chunks(text: str) -> list[str]:
-    """Parts of a text that are pre-tokenised independently: cuts before single spaces between other characters."""
-    if not text:
-        return []
-    parts = _CUT.split(text) if _PAIR.search(text) else text.split(" ")
-    return [parts[0], *(" " + p for p in parts[1:])]
-
-
 def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one word by ranked merges."""
     if word in ranks:
@@ -176,36 +176,167 @@ def fold(word_hex: Column, table: Column) -> Column:
     return _let(table, of)
 
 
-def word_counts(docs: DataFrame, pattern: str, text_col: str = "text", flush: int = 300_000) -> DataFrame:
+class Splitter:
+    """Texts as codes of words; a memo of chunks and their words that a worker's tasks share within a job.
+
+    The memo grows by what a block brings and starts anew at a block's
+    beginning once it has more than ``MEMO_BYTES``, so it is bounded however
+    long the chunks are.
+    """
+
+    def __init__(self, pattern: str):
+        self.find, self.plain, self.epoch = compile_pattern(pattern).findall, _LETTERS_ALONE in pattern, 0
+        self.forget()
+
+    def forget(self) -> None:
+        """Chunk i has the words of codes[starts[i]:starts[i + 1]]; ``part`` are chunks of one part behind a space, without it."""
+        self.part: dict[str, int] = {}
+        self.chunk: dict[str, int] = {}
+        self.starts, self.codes = array("q", [0]), array("I")
+        self.word: dict[str, int] = {}
+        self.names: list[str] = []
+        self.held = 0
+        self.epoch += 1
+
+    @property
+    def full(self) -> bool:
+        return self.held > MEMO_BYTES
+
+    def _number(self, words: list[str]) -> list[int]:
+        """Codes of words, new ones for new words."""
+        known = list(map(self.word.get, words))
+        new = list(dict.fromkeys([w for w, k in zip(words, known) if k is None]))
+        if new:
+            self.word.update(zip(new, range(len(self.names), len(self.names) + len(new))))
+            self.names += new
+            self.held += 200 * len(new) + 2 * sum(map(len, new))
+            return list(map(self.word.__getitem__, words))
+        return known
+
+    def _put(self, table: dict[str, int], keys: list[str], codes: list[int], ends: Iterable[int]) -> None:
+        """Enter chunks with the codes of their words, one after another, and where each chunk's end."""
+        first, at = len(self.starts) - 1, len(self.codes)
+        table.update(zip(keys, range(first, first + len(keys))))
+        self.codes.extend(codes)
+        self.starts.extend([at + e for e in ends])
+        self.held += 150 * len(keys) + sum(map(len, keys))
+
+    def _learn_parts(self, parts: list[str]) -> None:
+        """Enter new parts behind a space; runs of Latin letters, with closing punctuation or not, need no search."""
+        rest = parts
+        if self.plain:
+            kind = [(1 if p.isalpha() else 2 if p[-1:] in _CLOSING and p[:-1].isalpha() else 0) if p.isascii() or max(p) < _LATIN else 0 for p in parts]
+            letters = [p for p, k in zip(parts, kind) if k == 1]
+            closed = [p for p, k in zip(parts, kind) if k == 2]
+            rest = [p for p, k in zip(parts, kind) if k == 0]
+            self._put(self.part, letters, self._number([" " + p for p in letters]), range(1, len(letters) + 1))
+            both = zip(self._number([" " + p[:-1] for p in closed]), self._number([p[-1] for p in closed]))
+            self._put(self.part, closed, [k for pair in both for k in pair], range(2, 2 * len(closed) + 1, 2))
+        self._learn(self.part, rest, " ")
+
+    def _learn(self, table: dict[str, int], chunks: list[str], before: str = "") -> None:
+        found = [self.find(before + c) for c in chunks]
+        self._put(table, chunks, self._number([w for words in found for w in words]), accumulate(map(len, found)))
+
+    def _codes_of(self, table: dict[str, int], chunks: list[str], learn) -> np.ndarray:
+        codes = list(map(table.get, chunks))
+        if None in codes:
+            learn(list(dict.fromkeys([c for c, k in zip(chunks, codes) if k is None])))
+            codes = list(map(table.__getitem__, chunks))
+        return np.array(codes, np.int64)
+
+    def block(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Chunk codes of all texts of ``col`` (no nulls), one after another, and the offsets of each text's.
+
+        Texts are cut before single spaces between other characters, where no
+        match of a pattern of this kind crosses.
+        """
+        split = pc.split_pattern(col, " ")
+        coded = split.flatten().dictionary_encode()
+        names, at = coded.dictionary, np.asarray(coded.indices).astype(np.int64)
+        offs = np.asarray(split.offsets).astype(np.int64)
+        offs = offs - offs[0]
+        first = np.zeros(len(at), bool)
+        first[offs[:-1]] = True  # a split text has one part at least
+        clean = np.asarray(pc.equal(pc.utf8_trim_whitespace(names), names)) & (np.asarray(pc.binary_length(names)) > 0)
+        opens, ends = clean, clean
+        if not clean.all():
+            opens, ends = clean.copy(), clean.copy()
+            for k in np.flatnonzero(~clean).tolist():
+                name = names[k].as_py()
+                opens[k], ends[k] = name != "" and not name[0].isspace(), name != "" and not name[-1].isspace()
+        head = first.copy()
+        head[1:] |= ends[at[:-1]] & opens[at[1:]]
+        begin = np.flatnonzero(head)
+        size = np.diff(np.append(begin, len(at)))
+        single = (size == 1) & ~first[begin]
+        seen = np.zeros(len(names), bool)
+        seen[at[begin[single]]] = True
+        used = np.flatnonzero(seen)
+        code_of = np.zeros(len(names), np.int64)
+        said = names.to_pylist()
+        code_of[used] = self._codes_of(self.part, [said[k] for k in used.tolist()], self._learn_parts)
+        others = np.flatnonzero(~single)
+        joined = [("" if f else " ") + " ".join([said[k] for k in at[b : b + n].tolist()]) for f, b, n in zip(first[begin[others]].tolist(), begin[others].tolist(), size[others].tolist())]
+        out = np.empty(len(begin), np.int64)
+        out[single] = code_of[at[begin[single]]]
+        out[others] = self._codes_of(self.chunk, joined, lambda new: self._learn(self.chunk, new))
+        return out, np.searchsorted(begin, offs)
+
+    def words_of(self, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Word codes of chunk codes, one after another, and the end of each chunk's."""
+        starts = np.frombuffer(self.starts, np.int64)
+        own = starts[chunks + 1] - starts[chunks]
+        ends = np.cumsum(own)
+        words = np.frombuffer(self.codes, np.uint32) if self.codes else np.zeros(0, np.uint32)
+        total = int(ends[-1]) if len(ends) else 0
+        return words[np.repeat(starts[chunks] - (ends - own), own) + np.arange(total)], ends
+
+
+#: The memo of a worker's latest job; a job's tasks share it.
+_OF_JOB: dict[str, dict] = {}
+
+
+def _of_job(job: str, pattern: str) -> dict:
+    if job not in _OF_JOB:
+        _OF_JOB.clear()
+        _OF_JOB[job] = {"splitter": Splitter(pattern)}
+    return _OF_JOB[job]
+
+
+def word_counts(docs: DataFrame, pattern: str, text_col: str = "text", job: str = "") -> DataFrame:
     """(word, n): distinct words of all texts; each task sums its own first."""
     texts = docs.select(F.col(text_col).cast("string").alias("t")).where("t IS NOT NULL AND t <> ''")
     runtime.share_package(docs.sparkSession)
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = compile_pattern(pattern).findall
-        seen: Counter = Counter()
+        splitter = _of_job(job, pattern)["splitter"]
+        total = np.zeros(0, np.int64)
 
         def drain() -> pa.RecordBatch:
-            words: Counter = Counter()
-            for chunk, n in seen.items():
-                for w in find(chunk):
-                    words[w] += n
-            seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array([w.encode() for w in words], pa.binary()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
+            at = np.flatnonzero(total)
+            return pa.RecordBatch.from_arrays([pa.array([splitter.names[i].encode() for i in at.tolist()], pa.binary()), pa.array(total[at])], names=["word", "n"])
 
         for batch in batches:
-            for text in batch.column(0):
-                seen.update(chunks(text.as_py()))
-                if len(seen) > flush:
+            for lo, hi, _, _ in blocks.blocks(batch.column(0), BLOCK_BYTES):
+                if splitter.full:
                     yield drain()
+                    splitter.forget()
+                    total = np.zeros(0, np.int64)
+                chunks, _ = splitter.block(batch.column(0).slice(lo, hi - lo))
+                seen, n = np.unique(chunks, return_counts=True)
+                words, ends = splitter.words_of(seen)
+                more = np.bincount(words, weights=np.repeat(n, np.diff(ends, prepend=0)), minlength=len(total)).astype(np.int64)
+                more[: len(total)] += total
+                total = more
         yield drain()
 
     return texts.mapInArrow(stage, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", most: int = HOT_WORDS) -> DataFrame:
+def dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", most: int = HOT_WORDS, job: str = "") -> DataFrame:
     """(word, ids) of the at most ``most`` most frequent distinct words, folded in Spark."""
-    counts = runtime.materialize(word_counts(docs, pattern, text_col).where(F.length("word") <= FOLD_BYTES), "words")
+    counts = runtime.materialize(word_counts(docs, pattern, text_col, job).where(F.length("word") <= FOLD_BYTES), "words")
     level = F.when(F.col("n") < 1024, F.col("n")).otherwise((F.lit(1024) + F.floor(F.log2(F.col("n") / 1024) * 32))).cast("bigint")
     histogram = {r.level: r["count"] for r in counts.groupBy(level.alias("level")).count().collect()}  # at most some 2,800 levels
     total, least = 0, 1 << 40
@@ -221,53 +352,85 @@ def dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col:
 
 
 class Encoder:
-    """Encodes texts by a dictionary of words, merging other words here; a bounded memo of chunks."""
+    """Encodes blocks of texts by a dictionary of words; other words are merged here, many at a time."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, words: dict[bytes, bytes]):
-        self.ranks, self.words = ranks, words
-        self.find = compile_pattern(pattern).findall
-        self.memo: dict[str, tuple[bytes, bytes]] = {}
+    def __init__(self, ranks: dict[bytes, int], splitter: Splitter, words: dict[bytes, bytes]):
+        self.ranks, self.words, self.splitter, self.epoch = ranks, words, splitter, -1
+        self.merges = Merges.of_ranks(ranks)
         self.pieces = [b""] * (max(ranks.values(), default=-1) + 1)
         for piece, rank in ranks.items():
             self.pieces[rank] = piece
-
-    def ids_of(self, word: bytes) -> bytes:
-        return self.words.get(word) or array("I", merge(word, self.ranks)).tobytes()
-
-    def encode(self, text: str) -> tuple[array, bytes]:
-        """Ids, and the same as decimal text with a comma behind each."""
-        memo, parts = self.memo, chunks(text)
-        if len(memo) > MEMO:
-            memo.clear()
-        for c in set(parts).difference(memo):
-            ids = b"".join([self.ids_of(w.encode()) for w in self.find(c)])
-            memo[c] = ids, b"".join([b"%d," % i for i in array("I", ids)])
-        both = [memo[c] for c in parts]
-        out = array("I")
-        out.frombytes(b"".join([b[0] for b in both]))
-        return out, b"".join([b[1] for b in both])
-
-    def decode(self, ids: array) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, ids))
+        self.names = [b"%d," % i for i in range(len(self.pieces))]
+
+    def ids_of(self, words: list[bytes]) -> Iterator[tuple[int, list[int]]]:
+        """(i, ids of word i), in any order: from the dictionary, as whole pieces, or by ranked merges."""
+        rest = []
+        for i, (w, known) in enumerate(zip(words, map(self.words.get, words))):
+            if known:
+                yield i, memoryview(known).cast("I").tolist()
+            elif (r := self.ranks.get(w)) is not None:
+                yield i, [r]
+            elif len(w) <= LONGEST and self.merges.usable:
+                rest.append(i)
+            else:
+                yield i, merge(w, self.ranks)
+        if rest:
+            order, lengths, flat = self.merges.encode([words[i] for i in rest])
+            made, at = flat.tolist(), 0
+            for i, n in zip(order.tolist(), lengths.tolist()):
+                yield rest[i], made[at : at + n]
+                at += n
+
+    def _learn(self) -> None:
+        """For the splitter's new words: how many ids, the ids as decimal text with a comma behind each, and the pieces they decode to."""
+        s = self.splitter
+        if self.epoch != s.epoch:
+            self.epoch, self.said, self.spelt, self.sizes = s.epoch, [], [], np.zeros(0, np.int64)
+        new = [w.encode() for w in s.names[len(self.said) :]]
+        if new:
+            name, piece, join = self.names.__getitem__, self.pieces.__getitem__, b"".join
+            first, sizes = len(self.said), np.zeros(len(new), np.int64)
+            self.said += [b""] * len(new)
+            self.spelt += [b""] * len(new)
+            for i, ids in self.ids_of(new):
+                self.said[first + i], self.spelt[first + i], sizes[i] = join(map(name, ids)), join(map(piece, ids)), len(ids)
+            self.sizes = np.append(self.sizes, sizes)
+            s.held += 150 * len(new) + 10 * int(sizes.sum())
+
+    def encode(self, col: pa.Array) -> Iterator[tuple[int, bytes, bytes]]:
+        """(number of ids, their decimal text with commas, the decoded bytes) of each text."""
+        s = self.splitter
+        if s.full:
+            s.forget()
+        chunks, offs = s.block(col)
+        self._learn()
+        words, ends = s.words_of(chunks)
+        cut = np.append(0, ends)[offs]
+        sums = np.append(0, np.cumsum(self.sizes[words]))
+        n = (sums[cut[1:]] - sums[cut[:-1]]).tolist()
+        codes, said, spelt = words.tolist(), self.said, self.spelt
+        for i, (a, b) in enumerate(zip(cut.tolist(), cut[1:].tolist())):
+            own = codes[a:b]
+            yield n[i], b"".join([said[k] for k in own]), b"".join([spelt[k] for k in own])
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, most: int = HOT_WORDS) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256[, ids, decoded]) of every document."""
-    ranks = load_ranks(path)
-    got = dictionary(docs, ranks, pattern, text_col, most).toArrow()  # bounded by ``most``
+    ranks, job = load_ranks(path), uuid.uuid4().hex
+    got = dictionary(docs, ranks, pattern, text_col, most, job).toArrow()  # bounded by ``most``
     words = {w: array("I", ids).tobytes() for w, ids in zip(got.column("word").to_pylist(), got.column("ids").to_pylist())}
-    shared = docs.sparkSession.sparkContext.broadcast((ranks, pattern, words))
-    state: dict = {}
+    shared = docs.sparkSession.sparkContext.broadcast((ranks, words))
 
     def kernel(col: pa.Array) -> list:
-        if not state:
-            state["e"] = Encoder(*shared.value)
-        e, out = state["e"], []
-        for text in col:
-            ids, said = e.encode(text.as_py())
-            decoded = e.decode(ids)
-            row = [len(ids), hashlib.sha256(said[:-1]).hexdigest(), hashlib.sha256(decoded).hexdigest()]
-            out.append(row + [ids.tolist(), decoded] if with_ids else row)
+        state = _of_job(job, pattern)
+        if "encoder" not in state:
+            ranks, words = shared.value
+            state["encoder"] = Encoder(ranks, state["splitter"], words)
+        out = []
+        for lo, hi, _, _ in blocks.blocks(col, BLOCK_BYTES):
+            for n, said, spelt in state["encoder"].encode(col.slice(lo, hi - lo)):
+                row = [n, hashlib.sha256(said[:-1]).hexdigest(), hashlib.sha256(spelt).hexdigest()]
+                out.append(row + [[int(x) for x in said.split(b",")[:-1]], spelt] if with_ids else row)
         return [list(x) for x in zip(*out)]
 
     fields = [("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string")]

@@ -1,4 +1,4 @@
-"""Ranked merges of many words at once, for a byte-level BPE with word ends."""
+"""Ranked merges of many words at once, for byte-level BPE vocabularies."""
 
 from __future__ import annotations
 
@@ -10,7 +10,6 @@ import numpy as np
 LONGEST = 40
 _NONE = np.int32(2**31 - 1)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
-_BITS = 18
 _ROWS = 1 << 14
 
 
@@ -37,12 +36,28 @@ class Merges:
         self.usable = self.usable and all(c in vocab and c + end in vocab for c in names)
         if not self.usable:
             return
-        self.inner = np.array([vocab[c] for c in names], np.int32)
-        self.last = np.array([vocab[c + end] for c in names], np.int32)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        self.merged = np.array([vocab[a + b] for a, b in pairs], np.int32)
+        inner, last = np.array([vocab[c] for c in names], np.int32), np.array([vocab[c + end] for c in names], np.int32)
         keys = np.array([vocab[a] << 32 | vocab[b] for a, b in pairs], np.uint64)
-        self.keys, self.ranks = np.full(1 << _BITS, np.uint64(2**64 - 1)), np.full(1 << _BITS, _NONE)
+        self._build(inner, last, keys, np.arange(len(pairs), dtype=np.int32), np.array([vocab[a + b] for a, b in pairs], np.int32))
+
+    @classmethod
+    def of_ranks(cls, ranks: dict[bytes, int]) -> Merges:
+        """The table of a vocabulary of byte strings, in which a pair's rank is that of its two pieces joined."""
+        self = cls.__new__(cls)
+        self.usable = all(bytes([b]) in ranks for b in range(256))
+        if self.usable:
+            bytes_ = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+            found = [(a << 32 | b, r) for t, r in ranks.items() for i in range(1, len(t)) if (a := ranks.get(t[:i])) is not None and (b := ranks.get(t[i:])) is not None]
+            keys, values = np.array([k for k, _ in found], np.uint64), np.array([r for _, r in found], np.int32)
+            self._build(bytes_, bytes_, keys, values, np.arange(max(ranks.values()) + 1, dtype=np.int32))
+        return self
+
+    def _build(self, inner: np.ndarray, last: np.ndarray, keys: np.ndarray, values: np.ndarray, merged: np.ndarray) -> None:
+        """Symbols of bytes within and at the end of a word; pairs, their ranks, and the symbol that each rank makes."""
+        self.inner, self.last, self.merged = inner, last, merged
+        self.bits = max(10, int(len(keys) * 2).bit_length())
+        self.keys, self.ranks = np.full(1 << self.bits, np.uint64(2**64 - 1)), np.full(1 << self.bits, _NONE)
         left = np.arange(len(keys))
         at = self._slot(keys)
         while len(left):  # open addressing: of those that want a free slot the first gets it
@@ -50,13 +65,12 @@ class Merges:
             free = left[~taken]
             _, first = np.unique(at[free], return_index=True)
             now = free[first]
-            self.keys[at[now]], self.ranks[at[now]] = keys[now], now
+            self.keys[at[now]], self.ranks[at[now]] = keys[now], values[now]
             left = np.setdiff1d(left, now)
-            at[left] = (at[left] + 1) % (1 << _BITS)
+            at[left] = (at[left] + 1) % (1 << self.bits)
 
-    @staticmethod
-    def _slot(keys: np.ndarray) -> np.ndarray:
-        return ((keys * _SPREAD) >> np.uint64(64 - _BITS)).astype(np.int64)
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * _SPREAD) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Ranks of pairs of symbols; the largest int32 where there is no merge."""
@@ -65,7 +79,7 @@ class Merges:
         found = self.ranks[at]
         wrong = np.nonzero((self.keys[at] != keys) & (found != _NONE))
         while len(wrong[0]):
-            at[wrong] = (at[wrong] + 1) % (1 << _BITS)
+            at[wrong] = (at[wrong] + 1) % (1 << self.bits)
             slot = at[wrong]
             found[wrong] = self.ranks[slot]
             bad = (self.keys[slot] != keys[wrong]) & (found[wrong] != _NONE)

@@ -2,12 +2,13 @@
 
 import random
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer as Library
 
-from recollect.llm import packing
+from recollect.llm import byte_bpe, merges, packing
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -46,3 +47,39 @@ def test_odd_texts_with_a_small_memo(spec):
 def test_empty_block(spec):
     ids, at = packing.Tokenizer(spec).encode_block(pa.array([], pa.string()))
     assert len(ids) == 0 and at.tolist() == [0]
+
+
+def test_ranked_words_are_those_of_the_plain_merge():
+    ranks = byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    table = merges.Merges.of_ranks(ranks)
+    rng = np.random.default_rng(3)
+    words = {bytes(rng.choice(list(b" aaabcdeehinorst"), rng.integers(2, 30)).tolist()) for _ in range(3000)} | {"élève".encode(), "中文字".encode(), b"aaaaaaaaaaa", bytes(range(200, 230))}
+    words = [w for w in words if w not in ranks]
+    order, lengths, ids = table.encode(words)
+    cuts = np.append(0, np.cumsum(lengths))
+    for k, i in enumerate(order):
+        assert ids[cuts[k] : cuts[k + 1]].tolist() == byte_bpe.merge(words[i], ranks)
+
+
+def test_blocks_split_as_the_pattern_does_on_whole_texts():
+    find = byte_bpe.compile_pattern(public_tokenizers.PATTERN).findall
+    spaces = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    rng = np.random.default_rng(4)
+    parts = ["word", "Word.", "naïve,", "don't", "x's", "12", "a1b", "...", "ªº", "ⅷ", "中文", "", " ", *spaces]
+    texts = ["", " ", "one", "two words"] + ["".join(rng.choice([*parts, " ", " "], rng.integers(1, 12))) for _ in range(4000)]
+    splitter = byte_bpe.Splitter(public_tokenizers.PATTERN)
+    for _ in range(2):  # the second time from the memo
+        chunks, offs = splitter.block(pa.array(texts))
+        words, ends = splitter.words_of(chunks)
+        cut = np.append(0, ends)[offs]
+        for t, a, b in zip(texts, cut, cut[1:]):
+            assert [splitter.names[k] for k in words[a:b]] == find(t)
+
+
+def test_the_memo_starts_anew_when_it_is_full(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "MEMO_BYTES", 1)
+    ranks = byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    encoder = byte_bpe.Encoder(ranks, byte_bpe.Splitter(public_tokenizers.PATTERN), {})
+    texts = ["some words here", "other words there, " * 50, "x" * 3000]
+    one = [list(encoder.encode(pa.array([t]))) for t in texts]
+    assert [spelt.decode() for ((_, _, spelt),) in one] == texts and encoder.splitter.epoch == 3
