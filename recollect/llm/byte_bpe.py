@@ -41,7 +41,7 @@ HOT_WORDS = 1 << 17
 #: Longer words aren't folded in Spark: the fold copies the word's pieces at each merge.
 FOLD_BYTES = 48
 #: Bytes that a worker's memo of chunks and words may take, about; it starts anew beyond them.
-MEMO_BYTES = 200_000_000
+MEMO_BYTES = 120_000_000
 #: Bytes of text that are split at a time (a longer text is split by itself).
 BLOCK_BYTES = 1 << 23
 _BUCKETS = 1 << 14
