@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Priorities and warmth of tiers.
 TIER_PRIORITY = {"working": 5, "semantic": 4, "procedural": 3, "episodic": 2, "archived": 1}
 TIER_WARMTH = {"working": 1.0, "semantic": 0.7, "procedural": 0.6, "episodic": 0.4, "archived": 0.1}
+#: The same by access heat of results.
+TIER_BOOST = {"working": 1.0, "episodic": 0.75, "semantic": 0.55, "procedural": 0.5, "archived": 0.2}
 
 
 def hours(now: Column, then: Column) -> Column:

@@ -40,13 +40,16 @@ def connection_index(*entries: DataFrame) -> DataFrame:
     """The union of index entries: of each connection the one of least rank, then of largest weight.
 
     Entries have (summary_id, node_id, relation, role, direction, rank, weight);
-    a missing rank or one of zero counts as 1, a missing weight as 0.  ``pos``
-    is a connection's place in its summary.
+    a missing rank or one below 1 counts as 1, a missing weight as 1 and one below
+    0 as 0; ids are trimmed and blank ones dropped.  ``pos`` is a connection's
+    place in its summary.
     """
     every = entries[0]
     for e in entries[1:]:
         every = every.unionByName(e)
-    rank = F.when(F.coalesce("rank", F.lit(0)) == 0, 1).otherwise(F.col("rank"))
-    best = every.groupBy("summary_id", "node_id", "relation", "role", "direction").agg(F.min(F.struct(rank.alias("rank"), (-F.coalesce("weight", F.lit(0.0))).alias("w"))).alias("m"))
+    every = every.withColumn("node_id", F.trim(F.col("node_id").cast("string"))).where("node_id <> ''")
+    rank = F.greatest(F.lit(1), F.coalesce("rank", F.lit(1)))
+    weight = F.greatest(F.lit(0.0), F.coalesce(F.col("weight").cast("double"), F.lit(1.0)))
+    best = every.groupBy("summary_id", "node_id", "relation", "role", "direction").agg(F.min(F.struct(rank.alias("rank"), (-weight).alias("w"))).alias("m"))
     flat = best.select("summary_id", "node_id", "relation", "role", "direction", F.col("m.rank").alias("rank"), (-F.col("m.w")).alias("weight"))
     return flat.withColumn("pos", F.row_number().over(Window.partitionBy("summary_id").orderBy("rank", F.desc("weight"), "node_id", "relation", "role", "direction")))

@@ -21,8 +21,6 @@ STOP = (
     "documents paper section sections example examples upload uploaded file files chunk chunks summary summaries "
     "agent agents reasoning model models system demo tmp pdf txt md data information"
 ).split()
-#: Terms of SDK workflows.
-WORKFLOW = "stixclient stixdb_sdk sdk ingest_folder openai chat completions stream verbose thinking model collection pdf parser docling legacy".split()
 TERM = "[a-z][a-z0-9_-]{2,}"
 #: Patterns of named entities by kind; the group is the name.
 ENTITIES = {
@@ -50,13 +48,14 @@ def mark_covered(n: DataFrame, covered: DataFrame) -> DataFrame:
     return n.join(c, n.id == c._covered, "left").withColumn("open", F.col("_covered").isNull()).drop("_covered")
 
 
-def _order() -> list[Column]:
-    return [F.desc("importance"), F.desc("created_at"), F.col("id")]
+def _order(columns) -> list[Column]:
+    """Importance, accesses and the last of these; creation where accesses aren't known."""
+    return [F.desc("importance"), *([F.desc("access_count"), F.desc("last_accessed")] if "access_count" in columns else [F.desc("created_at")]), F.col("id")]
 
 
 def top_nodes(n: DataFrame, limit: int) -> DataFrame:
-    """The most important nodes, later ones first among equals."""
-    return n.orderBy(*_order()).limit(limit)
+    """The most important nodes, those of more and later accesses first among equals."""
+    return n.orderBy(*_order(n.columns)).limit(limit)
 
 
 def top_terms(n: DataFrame, limit: int) -> DataFrame:
@@ -130,7 +129,7 @@ def overview_question(n: DataFrame) -> DataFrame:
     return g.select(F.lit("collection_overview").alias("kind"), F.lit("overview").alias("label"), (1.0 + 0.02 * F.col("k")).alias("priority"), F.least(F.lit(10), F.when(F.col("k") > 0, F.col("k")).otherwise(F.col("n"))).alias("nodes"))
 
 
-def verification_question(n: DataFrame, terms: list[str] = WORKFLOW, sources: list[str] = ("sdk", "openai", "compatibility")) -> DataFrame:
+def verification_question(n: DataFrame, terms: list[str], sources: list[str] = ()) -> DataFrame:
     """One question if two of the top nodes or more touch the given terms by content, tag or source."""
     want = F.array(*map(F.lit, terms))
     by_source = reduce(lambda a, s: a | F.coalesce(F.lower("source").contains(s), F.lit(False)), sources, F.lit(False))
@@ -144,8 +143,55 @@ def _plan(candidates: DataFrame, limit: int) -> DataFrame:
     return candidates.orderBy(F.desc("priority"), F.desc("nodes"), F.desc("label")).limit(limit)
 
 
-def question_plan(n: DataFrame, limit: int = 8, terms: list[str] = WORKFLOW) -> DataFrame:
+def question_plan(n: DataFrame, limit: int, terms: list[str], sources: list[str] = ()) -> DataFrame:
     """The most urgent of all candidate questions, each (kind, label) once."""
-    parts = [overview_question(n), verification_question(n, terms), source_questions(n), tag_questions(n), gap_questions(n), relationship_question(n), entity_questions(n)]
+    parts = [overview_question(n), verification_question(n, terms, sources), source_questions(n), tag_questions(n), gap_questions(n), relationship_question(n), entity_questions(n)]
     both = reduce(DataFrame.unionByName, [p.withColumn("nodes", F.col("nodes").cast("bigint")) for p in parts])
     return _plan(both.groupBy("kind", "label").agg(F.max("priority").alias("priority"), F.max("nodes").alias("nodes")), limit)
+
+
+#: How many focus nodes a question of each kind has, at most.
+FOCUS = {"source_summary": 8, "tag_summary": 6, "topic_gap": 6, "relationship": 8, "collection_overview": 10}
+
+
+def focus_nodes(plan: DataFrame, n: DataFrame) -> DataFrame:
+    """(kind, label, at, id): the nodes that each question of ``plan`` is about, the first ``FOCUS`` of its kind.
+
+    Open nodes alone if a question has any, else all of its nodes.  Rows, not
+    lists; rank limits drop the rest of a large source or tag before the shuffle.
+    """
+    order = _order(n.columns)
+    cols = ["id", "open", *[c for c in ("importance", "access_count", "last_accessed", "created_at") if c in n.columns]]
+    own = plan.select("kind", "label")
+    terms = F.explode(term_set(F.col("content"))).alias("label")
+    halves = own.where("kind = 'relationship'").select("label", F.explode(F.split("label", r" \+ ")).alias("term"))
+    parts = [
+        n.select(F.lit("source_summary").alias("kind"), F.col("source").alias("label"), *cols),
+        n.select(F.lit("tag_summary").alias("kind"), F.explode(F.transform("tags", F.lower)).alias("label"), *cols).distinct(),
+        n.where("open").select(F.lit("topic_gap").alias("kind"), terms, *cols),
+        n.select(terms.alias("term"), *cols).join(F.broadcast(halves), "term").select(F.lit("relationship").alias("kind"), "label", *cols).distinct(),
+        n.select(F.lit("collection_overview").alias("kind"), F.lit("overview").alias("label"), *cols),
+    ]
+    met = reduce(DataFrame.unionByName, parts).join(F.broadcast(own), ["kind", "label"])  # a plan has a few rows
+    some = met.groupBy("kind", "label").agg(F.max("open").alias("some"))
+    most = F.coalesce(*[F.when(F.col("kind") == k, v) for k, v in FOCUS.items()])
+    rows = met.join(F.broadcast(some), ["kind", "label"]).where(F.col("open") | ~F.col("some") | F.col("kind").isin("relationship"))
+    at = F.row_number().over(Window.partitionBy("kind", "label").orderBy(*order))
+    return rows.withColumn("at", at).where(F.col("at") <= max(FOCUS.values())).where(F.col("at") <= most).select("kind", "label", "at", "id")
+
+
+def follow_ups(n: DataFrame, limit: int = 4) -> DataFrame:
+    """(question, label, priority, id) from past questions of 10 characters or more that weren't generated, each once, the first by creation."""
+    from ..functions import phrases
+
+    q = phrases.stripped(F.col("question"))
+    past = n.where(F.length("question") >= 10).withColumn("q", q).withColumn("low", F.lower(q)).where(~phrases.has_any(F.col("low"), phrases.GENERATED_PHRASES))
+    first = past.groupBy("low").agg(F.min_by(F.struct("q", "importance", "id"), F.struct("created_at", "id")).alias("m"), F.min(F.struct("created_at", "id")).alias("o"))
+    words = phrases.stripped(F.regexp_replace(F.col("m.q"), r"\?+$", ""))
+    made = first.orderBy("o").limit(limit).select(phrases.follow_up(words).alias("question"), F.concat(F.lit("Follow-up: "), F.left(words, F.lit(60))).alias("label"), (0.85 + F.least(F.lit(0.2), F.col("m.importance") * 0.2)).alias("priority"), F.col("m.id").alias("id"))
+    return made.where("question <> ''")
+
+
+def due(n: DataFrame, content_hash: Column, past: DataFrame) -> DataFrame:
+    """(nodes, mark) of a collection if its fingerprint isn't that of ``past`` (mark); no row if nothing changed."""
+    return fingerprint(n, content_hash).join(past.select("mark"), "mark", "left_anti")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores, text, vectors
 from ..operators import evaluation as E
+from ..operators import maintenance as U
 from ..operators import memory as M
 from ..operators import similarity as S
 from ..sources import files
@@ -66,17 +67,17 @@ def first_vector(spark: SparkSession, sf_dir: str) -> list[float]:
 
 @query(f"WITH {NODES} SELECT id, tier, node_type FROM nodes WHERE tier = 'semantic' AND node_type = 'fact' ORDER BY created_at, id LIMIT 20 OFFSET 5")
 def a1_scan_page(spark, sf):
-    return T.scan(T.nodes(spark, sf), "semantic", "fact", 20, 5).select("id", "tier", "node_type")
+    return T.scan(T.nodes(spark, sf, rated=False), "semantic", "fact", 20, 5).select("id", "tier", "node_type")
 
 
 @query(f"WITH {NODES} SELECT id, CASE id WHEN '7' THEN 0 WHEN '3' THEN 1 ELSE 2 END AS pos FROM nodes WHERE id IN ('7', '3', '11')")
 def a3_multi_get(spark, sf):
-    return T.get(T.nodes(spark, sf), ["7", "3", "7", "11"]).select("id", "pos")
+    return T.get(T.nodes(spark, sf, rated=False), ["7", "3", "7", "11"]).select("id", "pos")
 
 
 @query(f"WITH {NODES} SELECT id, CASE WHEN tier = 'archived' THEN upper(source) ELSE source END AS source FROM nodes")
 def a4_upsert(spark, sf):
-    n = T.nodes(spark, sf).select("id", "tier", "source")
+    n = T.nodes(spark, sf, rated=False).select("id", "tier", "source")
     return T.upsert(n, n.where("tier = 'archived'").withColumn("source", F.upper("source"))).select("id", "source")
 
 
@@ -93,7 +94,7 @@ def a7_incident_edges(spark, sf):
 
 @query("SELECT source AS collection, count(*) AS nodes FROM documents GROUP BY 1")
 def a9_a10_collections(spark, sf):
-    return T.nodes(spark, sf).groupBy(F.col("source").alias("collection")).agg(F.count("*").alias("nodes"))
+    return T.nodes(spark, sf, rated=False).groupBy(F.col("source").alias("collection")).agg(F.count("*").alias("nodes"))
 
 
 @query(f"WITH {EDGES}, page AS (SELECT 'c:' || c_custkey AS id FROM customer ORDER BY c_custkey LIMIT 50) SELECT DISTINCT source_id, target_id FROM edges WHERE source_id IN (SELECT id FROM page) OR target_id IN (SELECT id FROM page)")
@@ -104,26 +105,27 @@ def a27_export(spark, sf):
 
 @query(f"WITH {NODES} SELECT id FROM nodes WHERE contains(lower(source), 'src1') OR contains(lower(source), 'c7')")
 def b3_source_filter(spark, sf):
-    return M.source_filter(T.nodes(spark, sf), ["SRC1", "c7"]).select("id")
+    return M.source_filter(T.nodes(spark, sf, rated=False), ["SRC1", "c7"]).select("id")
 
 
 @query(f"WITH {NODES} SELECT id FROM nodes WHERE list_has_any(list_transform(tags, lambda t: lower(t)), ['de', 'src3'])")
 def b4_tag_filter(spark, sf):
-    return M.tag_filter(T.nodes(spark, sf), ["DE", "src3"]).select("id")
+    return M.tag_filter(T.nodes(spark, sf, rated=False), ["DE", "src3"]).select("id")
 
 
 @query(f"""WITH {NODES}, l AS (SELECT id, content, trim(split_part(content, chr(10), 1), ' ') AS line FROM nodes)
 SELECT id, CASE WHEN line = '' THEN 'Untitled memory' WHEN length(line) > 80 THEN left(line, 77) || '...' ELSE line END AS title,
   CASE WHEN length(content) > 160 THEN rtrim(left(content, 157), ' ') || '...' ELSE content END AS snippet FROM l""")
 def b8_b9_titles_snippets(spark, sf):
-    return T.nodes(spark, sf).select("id", text.title(F.lit(""), F.col("content")).alias("title"), text.snippet(F.col("content")).alias("snippet"))
+    return T.nodes(spark, sf, rated=False).select("id", text.title(F.lit(""), F.col("content")).alias("title"), text.snippet(F.col("content")).alias("snippet"))
 
 
 @query(f"""WITH RECURSIVE {EDGES}, step AS (SELECT source_id AS f, target_id AS t FROM edges UNION SELECT target_id, source_id FROM edges),
-walk AS (SELECT id AS start, id, 0 AS hop FROM (VALUES ('n:3'), ('c:5')) v(id) UNION SELECT w.start, s.t, w.hop + 1 FROM walk w JOIN step s ON s.f = w.id WHERE w.hop < 2)
+walk AS (SELECT 'c:' || c_custkey AS start, 'c:' || c_custkey AS id, 0 AS hop FROM customer WHERE c_custkey % 50 = 0 UNION SELECT w.start, s.t, w.hop + 1 FROM walk w JOIN step s ON s.f = w.id WHERE w.hop < 2)
 SELECT start, id, min(hop) AS hop FROM walk GROUP BY 1, 2 HAVING min(hop) > 0""")
 def c3_c4_neighbours(spark, sf):
-    return M.neighbours(T.hierarchy(spark, sf), spark.createDataFrame([("n:3",), ("c:5",)], "id string"), 2)
+    starts = T.table(spark, sf, "customer").where("c_custkey % 50 = 0").select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("id"))
+    return M.neighbours(T.hierarchy(spark, sf), starts, 2)
 
 
 @query(f"WITH {PAIRS} SELECT a, b, round(s, 6) AS similarity FROM pairs WHERE s >= {LOW}")
@@ -144,15 +146,6 @@ def c8_weave(spark, sf):
     return S.weave(v, known, 0.30, 0.88, 20).withColumn("similarity", r6(F.col("similarity")))
 
 
-@query("""WITH c AS (SELECT vec_id AS centre, embedding::double[] AS e FROM embeddings WHERE vec_id < 10),
-s AS (SELECT v.vec_id AS id, c.centre, list_dot_product(v.embedding::double[], c.e) AS s FROM embeddings v, c)
-SELECT id, arg_max(centre, s) AS centre, round(max(s), 6) AS similarity FROM s GROUP BY id HAVING max(s) >= 0.2""")
-def c15_nearest_centre(spark, sf):
-    v = T.vectors(spark, sf)
-    c = v.where("id < 10").select(F.col("id").alias("centre"), F.col("embedding").alias("centre_vector"))
-    return S.nearest(v, c, 0.2).withColumn("similarity", r6(F.col("similarity")))
-
-
 @query("""WITH c AS (SELECT vec_id AS centre, embedding::double[] AS e FROM embeddings WHERE label = 0),
 s AS (SELECT v.vec_id AS id, c.centre, list_dot_product(v.embedding::double[], c.e) AS s FROM embeddings v, c WHERE v.label <> 0)
 SELECT id, centre, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, centre) AS rn FROM s) WHERE rn = 1 AND s >= 0.2""")
@@ -164,29 +157,36 @@ def c15_nearest_of_class(spark, sf):
 
 @query(f"WITH {NODES}, h AS (SELECT id, source, {HASH.format('content')} AS h FROM nodes) SELECT id FROM h WHERE source = 'src1' AND h NOT IN (SELECT h FROM h WHERE source <> 'src1')")
 def c16_hash_guard(spark, sf):
-    h = T.nodes(spark, sf).select("id", "source", text.content_hash(F.col("content")).alias("h"))
+    h = T.nodes(spark, sf, rated=False).select("id", "source", text.content_hash(F.col("content")).alias("h"))
     return h.where("source = 'src1'").join(h.where("source <> 'src1'"), "h", "left_anti").select("id")
 
 
 @query(f"WITH {NODES} SELECT tier, node_type, count(*) AS n FROM nodes GROUP BY GROUPING SETS ((tier), (node_type), ())")
 def d1_stats(spark, sf):
-    return M.stats(T.nodes(spark, sf))
+    return M.stats(T.nodes(spark, sf, rated=False))
 
 
 @query(f"WITH {NODES}, t AS (SELECT lower(unnest(tags)) AS tag FROM nodes) SELECT tag, count(*) AS n FROM t GROUP BY tag ORDER BY n DESC, tag LIMIT 300")
 def d2_tag_frequency(spark, sf):
-    return T.nodes(spark, sf).select(F.explode("tags").alias("t")).groupBy(F.lower("t").alias("tag")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag").limit(300)
+    return T.nodes(spark, sf, rated=False).select(F.explode("tags").alias("t")).groupBy(F.lower("t").alias("tag")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag").limit(300)
 
 
-@query(f"WITH {NODES}, t AS (SELECT id, unnest(list_distinct(list_filter(regexp_extract_all(lower(content), '[a-zA-Z0-9_]+'), lambda w: length(w) >= 3))) AS term FROM nodes) SELECT term, count(*) AS df FROM t GROUP BY term ORDER BY df DESC, term LIMIT 150")
+@query(f"WITH {NODES}, t AS (SELECT id, unnest(list_distinct(list_filter(regexp_extract_all(lower(content), '[a-zA-Z0-9_]+'), lambda w: length(w) >= 3 AND NOT list_contains([{', '.join(repr(w) for w in U.STOP)}], w)))) AS term FROM nodes) SELECT term, count(*) AS df FROM t GROUP BY term ORDER BY df DESC, term LIMIT 150")
 def d3_document_frequency(spark, sf):
-    return M.document_frequency(T.nodes(spark, sf), 150)
+    return M.document_frequency(T.nodes(spark, sf, rated=False), 150, U.STOP)
+
+
+QUANTILES = (0.5, 0.75, 0.9, 0.95, 0.99)
 
 
-@query(f"WITH {PAIRS} SELECT round(min(s), 6) AS lo, round(max(s), 6) AS hi, round(avg(s), 6) AS mean, round(quantile_cont(s, 0.5), 6) AS median, round(quantile_cont(s, 0.95), 6) AS p95, count(*) FILTER (s >= 0.35) AS n FROM pairs")
+@query(f"WITH {PAIRS} SELECT round(min(s), 6) AS lo, round(max(s), 6) AS hi, round(avg(s), 6) AS mean, {', '.join(f'round(quantile_cont(s, {q}), 6) AS p{round(q * 100)}' for q in QUANTILES)}, count(*) FILTER (s >= 0.35) AS n FROM pairs")
 def d5_similarity_distribution(spark, sf):
-    s = F.col("similarity")
-    return S.pairs(T.vectors(spark, sf), -1.0).agg(r6(F.min(s)).alias("lo"), r6(F.max(s)).alias("hi"), r6(F.avg(s)).alias("mean"), r6(F.percentile(s, 0.5)).alias("median"), r6(F.percentile(s, 0.95)).alias("p95"), F.count_if(s >= 0.35).alias("n"))
+    return S.distribution(T.vectors(spark, sf), QUANTILES, 0.35)
+
+
+@query(f"WITH {PAIRS} SELECT a, b, round(s, 6) AS similarity FROM pairs WHERE s >= 0.35 ORDER BY s DESC, a, b LIMIT 100")
+def c9_similarity_scan(spark, sf):
+    return S.pairs(T.vectors(spark, sf), 0.35).orderBy(F.desc("similarity"), "a", "b").limit(100).withColumn("similarity", r6(F.col("similarity")))
 
 
 @query("""WITH u AS (SELECT label, unnest(range(1, 65)) AS pos, unnest(embedding) AS x FROM embeddings),
@@ -245,7 +245,7 @@ KEYWORD = """hits AS (SELECT id, tier, importance, least(1.0, (CASE WHEN list_co
 
 @query(f"WITH {NODES}, {KEYWORD} SELECT id, tier, round(score, 6) AS score FROM hits WHERE score > 0 AND (tier <> 'episodic' OR (SELECT count(*) FROM hits WHERE score > 0 AND tier <> 'episodic') < 25) ORDER BY CASE tier WHEN 'episodic' THEN 2 ELSE 1 END, hits.score DESC, id LIMIT 25")
 def f6_keyword_search(spark, sf):
-    return M.keyword(T.nodes(spark, sf), "The src3 license", 25).withColumn("score", r6(F.col("score")))
+    return M.keyword(T.nodes(spark, sf, rated=False), "The src3 license", 25).withColumn("score", r6(F.col("score")))
 
 
 @query(f"""WITH {NODES}, {KEYWORD}, k AS (SELECT id, score FROM hits WHERE score > 0), q AS (SELECT embedding::double[] AS q FROM embeddings WHERE vec_id = 0),
@@ -253,7 +253,7 @@ s AS (SELECT vec_id::varchar AS id, list_dot_product(embedding::double[], q) AS
 SELECT coalesce(k.id, s.id) AS id, round(0.7 * coalesce(s.score, 0) + 0.3 * coalesce(k.score, 0), 6) AS score FROM k FULL JOIN s ON k.id = s.id
 ORDER BY 0.7 * coalesce(s.score, 0) + 0.3 * coalesce(k.score, 0) DESC, 1 LIMIT 20""")
 def f7_hybrid_search(spark, sf):
-    n = T.nodes(spark, sf).where(F.col("tier").isin("working", "semantic", "episodic"))
+    n = T.nodes(spark, sf, rated=False).where(F.col("tier").isin("working", "semantic", "episodic"))
     kw = n.select("id", text.keyword_score(F.col("content"), F.col("tags"), text.query_terms("The src3 license")).alias("score")).where("score > 0")
     sem = S.top_k(T.vectors(spark, sf), first_vector(spark, sf), 60).select(F.col("id").cast("string").alias("id"), "score")
     return M.hybrid(kw, sem, 0.7, 20).withColumn("score", r6(F.col("score")))
@@ -265,9 +265,9 @@ def f8_rerank(spark, sf):
     return M.rerank(n).select("id", r6(F.col("score")).alias("score"))
 
 
-@query(f"WITH {NODES} SELECT id, {HASH.format('content')} AS h, md5(content) AS file_hash FROM nodes")
+@query(f"WITH {NODES} SELECT id, {HASH.format('content')} AS h, sha1(content) AS file_hash FROM nodes")
 def h1_h2_hashes(spark, sf):
-    return T.nodes(spark, sf).select("id", text.content_hash(F.col("content")).alias("h"), F.md5(F.col("content").cast("binary")).alias("file_hash"))
+    return T.nodes(spark, sf, rated=False).select("id", text.content_hash(F.col("content")).alias("h"), F.sha1(F.col("content").cast("binary")).alias("file_hash"))
 
 
 @query(f"""WITH {NODES}, d AS (SELECT id, importance * pow(2.0, -((1706659200 - created_at) / 3600.0) / 48.0) AS decay, importance, tier FROM nodes)
@@ -281,7 +281,7 @@ def h9_h13_decay_heat(spark, sf):
 @query(f"""WITH {NODES}, s AS (SELECT id, content, unnest(range(0, 1 + ceil(greatest(0, length(content) - 1000) / 800.0)::bigint)) AS i FROM nodes WHERE length(content) > 0)
 SELECT id, i::int AS chunk, i * 800 AS char_start, i * 800 + length(substring(content, (i * 800 + 1)::bigint, 1000)) AS char_end, {HASH.format('substring(content, (i * 800 + 1)::bigint, 1000)')} AS chunk_hash FROM s""")
 def h16_e9_chunks(spark, sf):
-    return files.chunks(T.nodes(spark, sf), "id", "content").drop("content")
+    return files.chunks(T.nodes(spark, sf, rated=False), "id", "content").drop("content")
 
 
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations)
@@ -290,12 +290,16 @@ def h29_e12_conversations(spark, sf):
     return M.last_turns(T.table(spark, sf, "conversations"))
 
 
-@query(f"""WITH {NODES}, {ACCESS}, j AS (SELECT n.*, coalesce(0.6 * a.freq + 0.4 * a.rec, 0) AS score FROM nodes n LEFT JOIN access a ON n.id = a.node_id::varchar WHERE NOT pinned),
-p AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM j WHERE tier NOT IN ('working', 'archived') AND score >= 0.05),
-q AS (SELECT id FROM p WHERE rank <= 256 - (SELECT count(*) FROM nodes WHERE tier = 'working'))
-SELECT id, 'promote' AS action FROM q UNION ALL SELECT id, action FROM (SELECT id, CASE WHEN tier = 'working' AND score < 0.02 THEN 'demote' WHEN importance * pow(2.0, -((1706659200 - created_at) / 3600.0) / 48.0) < 0.08 THEN 'archive' END AS action FROM j) WHERE action IS NOT NULL AND id NOT IN (SELECT id FROM q)""")
+INTERNAL = "('agent-maintenance', 'agent-consolidator', 'agent-reflection')"
+
+
+@query(f"""WITH {NODES}, {ACCESS}, j AS (SELECT n.* REPLACE (CASE WHEN id::bigint % 19 = 3 THEN 'agent-reflection' ELSE source END AS source), coalesce(0.6 * a.freq + 0.4 * a.rec, 0) AS score FROM nodes n LEFT JOIN access a ON n.id = a.node_id::varchar WHERE NOT pinned),
+p AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM j WHERE tier <> 'working' AND score >= 0.05 AND source NOT IN {INTERNAL})
+SELECT id, 'promote' AS action FROM p WHERE rank <= 256 - (SELECT count(*) FROM nodes WHERE tier = 'working') UNION ALL SELECT id, 'demote' FROM j WHERE tier = 'working' AND (score < 0.02 OR source IN {INTERNAL})
+UNION ALL SELECT id, 'archive' FROM j WHERE source NOT IN {INTERNAL} AND importance * pow(2.0, -((1706659200 - created_at) / 3600.0) / 48.0) < 0.08""")
 def i2_tier_plan(spark, sf):
-    return M.plan_tiers(T.nodes(spark, sf), M.access_scores(T.access_log(spark, sf), T.AS_OF), T.AS_OF, hot=0.05, cold=0.02)
+    n = T.nodes(spark, sf).withColumn("source", F.when(F.col("id").cast("bigint") % 19 == 3, "agent-reflection").otherwise(F.col("source")))
+    return M.plan_tiers(n, M.access_scores(T.access_log(spark, sf), T.AS_OF), T.AS_OF, hot=0.05, cold=0.02)
 
 
 @query(f"WITH {NODES} SELECT id FROM nodes WHERE NOT (tier = 'archived' AND NOT pinned AND importance * pow(2.0, -((1706659200 - created_at) / 3600.0) / 48.0) < 0.05)")

@@ -39,7 +39,7 @@ RELATED = _terms("all_terms", "marked", 6) + f""", two AS (SELECT list(term ORDE
 related AS (SELECT 'relationship' AS kind, pair[1] || ' + ' || pair[2] AS label, 0.58 AS priority, least(8, count(*)) AS nodes FROM marked, two WHERE list_has_any({_SET.format('content')}, pair) GROUP BY pair HAVING count(*) >= 3)"""
 OVERVIEW = "overview AS (SELECT 'collection_overview' AS kind, 'overview' AS label, 1.0 + 0.02 * count(*) FILTER (open) AS priority, least(10, CASE WHEN count(*) FILTER (open) > 0 THEN count(*) FILTER (open) ELSE count(*) END) AS nodes FROM marked)"
 VERIFY = f"""verify AS (SELECT 'workflow_verification' AS kind, 'workflow' AS label, 1.15 + least(0.2, count(*) FILTER (open) * 0.02) AS priority, CASE WHEN count(*) FILTER (open) > 0 THEN count(*) FILTER (open) ELSE count(*) END AS nodes
-  FROM (SELECT * FROM marked WHERE list_has_any({_SET.format('content')}, {_LIST(WORDS)}) OR list_has_any(list_transform(tags, lambda t: lower(t)), {_LIST(WORDS)}) OR contains(lower(source), 'sdk') OR contains(lower(source), 'openai') OR contains(lower(source), 'compatibility')
+  FROM (SELECT * FROM marked WHERE list_has_any({_SET.format('content')}, {_LIST(WORDS)}) OR list_has_any(list_transform(tags, lambda t: lower(t)), {_LIST(WORDS)}) OR contains(lower(source), 'src1')
     ORDER BY importance DESC, created_at DESC, id LIMIT 10) HAVING count(*) >= 2)"""
 
 
@@ -114,7 +114,7 @@ def d27_overview(spark, sf):
 
 @query(f"WITH {MARKED}, {VERIFY} {COLUMNS} verify")
 def d28_verification(spark, sf):
-    return shown(U.verification_question(marked(spark, sf), WORDS))
+    return shown(U.verification_question(marked(spark, sf), WORDS, ["src1"]))
 
 
 @query(f"WITH {NODES} SELECT id, importance FROM nodes ORDER BY importance DESC, created_at DESC, id LIMIT 25")
@@ -125,7 +125,7 @@ def f14_top_nodes(spark, sf):
 @query(f"""WITH {MARKED}, {SOURCES}, {TAGS}, {GAPS}, {RELATED}, {OVERVIEW}, {VERIFY}, {ENTITIES}
 {COLUMNS} (SELECT * FROM overview UNION ALL SELECT * FROM verify UNION ALL SELECT * FROM sources UNION ALL SELECT * FROM tagged UNION ALL SELECT * FROM gaps UNION ALL SELECT * FROM related UNION ALL SELECT * FROM entities) ORDER BY priority DESC, nodes DESC, label DESC LIMIT 8""")
 def f15_question_plan(spark, sf):
-    return shown(U.question_plan(marked(spark, sf), 8, WORDS))
+    return shown(U.question_plan(marked(spark, sf), 8, WORDS, ["src1"]))
 
 
 @query("""WITH q AS (SELECT vec_id AS query, embedding::double[] AS q FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query, vec_id AS id, list_dot_product(embedding::double[], q) AS score FROM embeddings, q),
@@ -198,32 +198,6 @@ def c19_pattern_prefetch(spark, sf):
     return K.prefetch(h, T.AS_OF, threshold=0.2).withColumn("score", r6(F.col("score")))
 
 
-@query(f"""WITH {EDGES}, seeds AS (SELECT 'o:' || o_orderkey AS id, 1.0 / (1 + o_orderkey % 7) AS score, row_number() OVER (ORDER BY o_orderkey) AS rank FROM orders WHERE o_orderkey <= 200),
-entries AS (SELECT 'o:' || l_orderkey AS summary_id, 's:' || l_suppkey AS node_id, l_linenumber AS rank, l_discount * 10 AS weight FROM lineitem WHERE l_orderkey % 3 > 0),
-via AS (SELECT e.node_id AS t, s.score * 0.9 * greatest(0.1, weight) / e.rank AS s FROM seeds s JOIN entries e ON e.summary_id = s.id),
-two AS (SELECT source_id AS id, target_id AS t FROM edges UNION ALL SELECT target_id, source_id FROM edges),
-walked AS (SELECT t, arg_min(score, rank) * 0.6 AS s FROM seeds JOIN two ON seeds.id = two.id WHERE seeds.id NOT IN (SELECT summary_id FROM entries) GROUP BY t)
-SELECT t AS id, round(max(s), 6) AS score FROM (SELECT * FROM via UNION ALL SELECT * FROM walked) WHERE t NOT IN (SELECT id FROM seeds) GROUP BY t""")
-def c5_seed_expansion(spark, sf):
-    key = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
-    seeds = T.table(spark, sf, "orders").where("o_orderkey <= 200").select(key("o:", "o_orderkey").alias("id"), (1.0 / (1 + F.col("o_orderkey") % 7)).alias("score"), F.col("o_orderkey").alias("rank"))
-    entries = T.table(spark, sf, "lineitem").where("l_orderkey % 3 > 0").select(key("o:", "l_orderkey").alias("summary_id"), key("s:", "l_suppkey").alias("node_id"), F.col("l_linenumber").alias("rank"), (F.col("l_discount") * 10).alias("weight"))
-    return K.expand_seeds(seeds, entries, T.hierarchy(spark, sf)).withColumn("score", r6(F.col("score")))
-
-
-@query(f"""WITH {EDGES}, seeds AS (SELECT 'o:' || o_orderkey AS id, 1.0 / (1 + o_orderkey % 7) AS score, row_number() OVER (ORDER BY o_orderkey) AS rank FROM orders WHERE o_orderkey % 50 = 0),
-entries AS (SELECT 'o:' || l_orderkey AS summary_id, 's:' || l_suppkey AS node_id, l_linenumber AS rank, l_discount * 10 AS weight FROM lineitem),
-via AS (SELECT e.node_id AS t, s.score * 0.9 * greatest(0.1, weight) / e.rank AS s FROM seeds s JOIN entries e ON e.summary_id = s.id),
-two AS (SELECT source_id AS id, target_id AS t FROM edges UNION ALL SELECT target_id, source_id FROM edges),
-walked AS (SELECT t, arg_min(score, rank) * 0.6 AS s FROM seeds JOIN two ON seeds.id = two.id WHERE seeds.id NOT IN (SELECT summary_id FROM entries) GROUP BY t)
-SELECT t AS id, round(max(s), 6) AS score FROM (SELECT * FROM via UNION ALL SELECT * FROM walked) WHERE t NOT IN (SELECT id FROM seeds) GROUP BY t""")
-def c5_whole_index_expansion(spark, sf):
-    key = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
-    seeds = T.table(spark, sf, "orders").where("o_orderkey % 50 = 0").select(key("o:", "o_orderkey").alias("id"), (1.0 / (1 + F.col("o_orderkey") % 7)).alias("score"), F.col("o_orderkey").alias("rank"))
-    entries = T.table(spark, sf, "lineitem").select(key("o:", "l_orderkey").alias("summary_id"), key("s:", "l_suppkey").alias("node_id"), F.col("l_linenumber").alias("rank"), (F.col("l_discount") * 10).alias("weight"))
-    return K.expand_seeds(seeds, entries, T.hierarchy(spark, sf)).withColumn("score", r6(F.col("score")))
-
-
 @query("WITH v AS (SELECT source, lang, max(doc_id) AS t FROM documents GROUP BY 1, 2), l AS (SELECT source, arg_max(lang, t) AS lang FROM v GROUP BY 1) SELECT d.doc_id FROM documents d JOIN l ON d.source = l.source WHERE d.lang <> l.lang")
 def e5_stale_versions(spark, sf):
     return K.stale_versions(T.table(spark, sf, "documents"), "source", "lang", "doc_id", "doc_id")

@@ -6,7 +6,7 @@ they run as one shuffle each on the key and need no row-level store.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TIERS = ("working", "episodic", "semantic", "procedural", "archived")
@@ -19,16 +19,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with their labels as memory nodes."""
-    d, q = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality")
+def nodes(spark: SparkSession, sf_dir: str, rated: bool = True) -> DataFrame:
+    """Documents as memory nodes; with ``rated`` their importance comes from the labels, else there is no such column and no join."""
+    d = table(spark, sf_dir, "documents")
+    if rated:
+        d = d.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
     pick = lambda names, key: F.element_at(F.array(*map(F.lit, names)), (key % len(names) + 1).cast("int"))
-    return d.join(q, "doc_id", "left").select(
+    importance = [F.when(F.col("quality") == 1, 0.9).when(F.col("quality") == 0, 0.3).otherwise(0.5).alias("importance")] if rated else []
+    return d.select(
         F.col("doc_id").cast("string").alias("id"),
         F.col("text").alias("content"),
         "source",
         F.array("lang", "source").alias("tags"),
-        F.when(F.col("quality") == 1, 0.9).when(F.col("quality") == 0, 0.3).otherwise(0.5).alias("importance"),
+        *importance,
         (F.col("doc_id") % 17 == 0).alias("pinned"),
         pick(TIERS, F.col("doc_id")).alias("tier"),
         pick(TYPES, F.col("doc_id")).alias("node_type"),
@@ -51,26 +54,37 @@ def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("node_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).withColumn("ts", F.col("us") / 1e6).drop("us")
 
 
-def scan(n: DataFrame, tier: str | None = None, node_type: str | None = None, limit: int = 1000, offset: int = 0) -> DataFrame:
-    """A page of nodes by equality filters, in order of creation and id."""
-    if tier:
-        n = n.where(F.col("tier") == tier)
-    if node_type:
-        n = n.where(F.col("node_type") == node_type)
+def scan(n: DataFrame, tier: str | list[str] | None = None, node_type: str | list[str] | None = None, limit: int = 1000, offset: int = 0) -> DataFrame:
+    """A page of nodes by one or several tiers and types, in order of creation and id."""
+    for name, allowed in (("tier", tier), ("node_type", node_type)):
+        if allowed:
+            n = n.where(F.col(name).isin([allowed] if isinstance(allowed, str) else list(allowed)))
     return n.orderBy("created_at", "id").offset(offset).limit(limit)
 
 
 def get(n: DataFrame, ids: list[str]) -> DataFrame:
-    """Rows of the asked ids, once each, with the place of the request."""
-    asked = n.sparkSession.createDataFrame(list(enumerate(dict.fromkeys(ids))), "pos int, id string")
-    return n.join(F.broadcast(asked), "id")
-
+    """Rows of the asked ids, once each, in the order of the request (``pos``).
 
-def upsert(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
-    """Rows of ``new`` replace those of ``old`` with the same key; of repeated new keys the last version stays."""
-    w = Window.partitionBy(key).orderBy(F.col("_version").desc())
-    both = old.withColumn("_version", F.lit(0)).unionByName(new.withColumn("_version", F.lit(1)))
-    return both.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_version")
+    The request is a list that the caller holds, so it goes into the filter,
+    which the scan can use, and is small enough to broadcast.
+    """
+    asked = n.sparkSession.createDataFrame(list(enumerate(dict.fromkeys(ids))), "pos int, id string")
+    return n.where(F.col("id").isin(list(dict.fromkeys(ids)))).join(F.broadcast(asked), "id").orderBy("pos")
+
+
+def upsert(old: DataFrame, new: DataFrame, key: str = "id", order: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of ``new`` replace those of ``old`` with the same key; columns of ``keep`` stay as they were.
+
+    Of repeated new keys the row of the largest ``order`` stays, of equal ones
+    the largest row; an aggregate decides, so the result is the same each time.
+    """
+    rest = [c for c in old.columns if c != key]
+    pick = F.max(F.struct(*([F.col(order).alias("_order")] if order else []), F.struct(*rest).alias("r")))
+    once = new.groupBy(key).agg(pick.alias("_m")).select(key, *[F.col(f"_m.r.{c}").alias(c) for c in rest])
+    if keep:
+        have = old.select(F.col(key), *[F.col(c).alias(f"_{c}") for c in keep])
+        once = once.join(have, key, "left").withColumns({c: F.coalesce(f"_{c}", c) for c in keep}).drop(*[f"_{c}" for c in keep])
+    return old.join(once.select(key), key, "left_anti").select(*old.columns).unionByName(once.select(*old.columns))
 
 
 def delete(n: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -1,8 +1,7 @@
 """Query sets and centre sets grow with their tables."""
 
-from recollect.operators import consolidation
 from recollect.plans import queries as own
-from recollect.plans import upkeep  # noqa: F401
+from recollect.plans import service, upkeep  # noqa: F401
 
 
 def test_nearest_centres_grow(spark, sf):
@@ -12,23 +11,3 @@ def test_nearest_centres_grow(spark, sf):
     assert inside.count() > 10
     assert got.join(inside, "centre", "left_anti").isEmpty()
     assert got.select("centre").distinct().count() > 10
-
-
-def test_seed_expansion_takes_the_whole_index(spark, sf, tmp_path):
-    """An order divisible by 50 and by 3 leads to its lines, not to its customer."""
-    F, T = own.F, own.T
-    T.table(spark, sf, "orders").where("o_orderkey % 150 = 0").write.parquet(f"{tmp_path}/orders.parquet")
-    for name in ("lineitem", "customer", "nation"):
-        T.table(spark, sf, name).write.parquet(f"{tmp_path}/{name}.parquet")
-    lines = T.table(spark, sf, "lineitem").where("l_orderkey % 150 = 0")
-    want = {f"s:{r.l_suppkey}" for r in lines.join(T.table(spark, str(tmp_path), "orders"), F.col("l_orderkey") == F.col("o_orderkey")).collect()}
-    got = {r.id for r in own.queries()["c5_whole_index_expansion"](spark, str(tmp_path)).collect()}
-    assert want and want <= got
-
-
-def test_seeds_without_entries_lead_to_neighbours(spark):
-    seeds = spark.createDataFrame([("a", 1.0, 1), ("b", 1.0, 2)], "id string, score double, rank int")
-    entries = spark.createDataFrame([("b", "x", 1, 0.5)], "summary_id string, node_id string, rank int, weight double")
-    edges = spark.createDataFrame([("a", "y"), ("b", "z")], "source_id string, target_id string")
-    got = {r.id: round(r.score, 6) for r in consolidation.expand_seeds(seeds, entries, edges).collect()}
-    assert got == {"x": 0.45, "y": 0.6}

@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from recollect.plans import queries as own
-from recollect.plans import upkeep  # noqa: F401
+from recollect.plans import service, upkeep  # noqa: F401
 from tests.oracle import connect, rows
 
 
