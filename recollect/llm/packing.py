@@ -40,7 +40,7 @@ from .merges import LONGEST, Merges
 
 CAPACITY = 2048
 #: Distinct chunks of text whose ids a worker remembers.
-MEMO = 1_000_000
+MEMO = 600_000
 #: Bytes of text that are encoded at a time (a longer text is encoded by itself).
 BLOCK_BYTES = 1 << 23
 _END = b"\0\0\0\0"
