@@ -537,3 +537,15 @@ def d16_d27_focus_nodes(spark, sf):
     n = upkeep.marked(spark, sf)
     parts = [U.source_questions(n), U.tag_questions(n), U.gap_questions(n), U.relationship_question(n), U.overview_question(n)]
     return U.focus_nodes(reduce(lambda a, b: a.unionByName(b), [p.select("kind", "label") for p in parts]), n).withColumn("at", F.col("at").cast("bigint"))
+
+
+@query()
+def i9_consolidation_cycle(spark, sf):
+    """Nodes after a cycle of merging, synthesis, exact duplicates and pruning; held against its invariants in the tests."""
+    return K.cycle(T.nodes(spark, sf), T.vectors(spark, sf), T.AS_OF, merge_at=LOW, lower=0.30)["nodes"].select("id", "tier", "importance", "pinned")
+
+
+@query()
+def f2_f3_approximate_search(spark, sf):
+    """The ten nearest of each query vector among the rows of common signatures; recall is measured in the tests."""
+    return S.approximate_top_k(T.vectors(spark, sf), asked(spark, sf), 10).select("query", "id", r6(F.col("score")).alias("score"))
