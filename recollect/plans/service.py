@@ -166,9 +166,10 @@ def b24_substring_search(spark, sf):
 _SHARE = "(CASE WHEN contains(lower(content), 'the') THEN 1 ELSE 0 END + CASE WHEN contains(lower(content), 'license') THEN 1 ELSE 0 END + CASE WHEN contains(lower(content), 'mit') THEN 1 ELSE 0 END) / 3.0"
 
 
-@query(f"WITH {NODES}, s AS (SELECT id, ({_SHARE})::double AS score FROM nodes WHERE id NOT IN (SELECT vec_id::varchar FROM embeddings)) SELECT id, round(score, 6) AS score FROM s WHERE score > 0 ORDER BY s.score DESC, id LIMIT 64")
+@query(f"WITH {NODES}, s AS (SELECT id, ({_SHARE})::double AS score FROM nodes WHERE id NOT IN (SELECT vec_id::varchar FROM embeddings WHERE label <> 0)) SELECT id, round(score, 6) AS score FROM s WHERE score > 0 ORDER BY s.score DESC, id LIMIT 64")
 def f4_h6_lexical_shortlist(spark, sf):
-    v = T.vectors(spark, sf).select(F.col("id").cast("string").alias("id"), "embedding")
+    """The index holds the vectors of all classes but one; its rows are still to be embedded."""
+    v = T.vectors(spark, sf).where("label <> 0").select(F.col("id").cast("string").alias("id"), "embedding")
     return Q.shortlist(T.nodes(spark, sf, rated=False).join(v, "id", "left"), "the MIT license", 10).select("id", r6(F.col("score")).alias("score"))
 
 
