@@ -1,4 +1,4 @@
-"""Near copies by multi-index hashing of wide SimHash fingerprints, verified on their shingles.
+"""Near copies by multi-index hashing of wide SimHash fingerprints, then an exact way for what it leaves.
 
 Two texts are near copies if the sets of their five-word shingles have a Jaccard
 similarity of at least ``similarity`` (0.8).  ``simhash`` links fingerprints of
@@ -12,27 +12,32 @@ of 0.8 leaves 15 % of the bits different, so here
   recall needs at that length;
 * around each segment a small Hamming ball is enumerated: the segment itself and
   it with one of its ``FLIPS`` bits flipped whose sums are nearest to a tie, as
-  these are the bits in which near copies differ.  Documents that list the same
-  value of the same segment are candidates;
-* the distance of the complete fingerprints must be possible for the similarity
-  (three standard deviations), and then the shingle sets are compared.
-
-The members of an entry are first compared with one leader, the one that shares
-most entries (the original that many were copied from).  What this links needs
-no further pair, so then only members of different components are compared with
-each other.  Members that link to no leader still make up to ``BUCKET`` pairs an
-entry each, which is many in a large group around the wanted similarity.
-In an entry of more than ``BUCKET`` members those in another component than the
-leader are told apart by one more segment and go through the same steps again,
-until no entry is crowded.
-
-The search finds what the segments show, so its recall is a figure and no
-guarantee; tests measure it against all pairs.  What it links is exact.
+  these are the bits in which near copies differ.  The documents that list the
+  same value of the same segment are compared with one leader, the one that shares
+  most entries (the original that many were copied from).
+
+That makes a star an entry however many meet there, and links most of what is to
+be linked; ``RECALL`` is that of this search alone.  All pairs that it leaves are
+decided exactly, so the result doesn't depend on it:
+
+* in any one order of all shingles, two sets of a similarity of 0.8 have a common
+  member among the first ``prefix_length`` of each.  The order puts the shingles
+  last that are frequent in a bounded sample of texts, which only saves pairs;
+* sets with a common member there are compared if they are of different
+  components by now, of possible sizes, and if the parities of their members' hashes
+  (``WORDS`` times 64 bits, more for large sets) differ in no more bits than the
+  sets may: a pair within the similarity always passes.  In crowded entries a star goes first,
+  so that a large group of copies is one component before pairs are made;
+* what passes is compared by its shingle sets, as the pairs of the first search.
+
+Work in a group of texts that share much and yet are no near copies grows with
+the square of its size, in a join's condition; the pairs that leave it don't.
 
 Defined results: a null text is empty; texts without words are copies of each
 other; texts of fewer words are one shingle; a null id never is the smallest id;
 of repeated rows one stays; extra columns are kept; an empty table stays empty.
-Texts of equal complete fingerprints count as equal.
+Texts of equal shingle sets count as equal; a shingle is its XXH64, of which the
+last comparison takes 32 bits.
 """
 
 from __future__ import annotations
@@ -43,7 +48,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import runtime
@@ -51,23 +56,25 @@ from .simhash import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
-RECALL = 0.97
+RECALL = 0.5
 FLIPS = 7
 SPARE_BITS = 5
 BUCKET = 64
+WORDS, FOLDED = 16, 4
+SAMPLE, FREQUENT, MOST_FREQUENT = 4096, 3, 1 << 16
 SEED = 42
+_ROWS = 256  # texts that are hashed at once
 _SEGMENT_AT = 48  # an entry's key: the segment's number above its value
 _FLIP_BITS = 6  # the number of a bit in a segment
 
 
 @dataclass(frozen=True)
 class Plan:
-    """``tables`` segments of ``bits`` bits; complete distances that are ``possible``."""
+    """``tables`` segments of ``bits`` bits."""
 
     shingle: int
     bits: int
     tables: int
-    possible: int
 
     @property
     def words(self) -> int:
@@ -87,8 +94,7 @@ def plan(n: int, shingle: int = SHINGLE, similarity: float = SIMILARITY, recall:
     y = rho * x + math.sqrt(1 - rho * rho) * rng.standard_normal((8192, bits))
     met = [bool(np.isin(a, b).any()) for a, b in zip(_balls(x), _balls(y))]
     tables = max(1, math.ceil(math.log(1 - recall) / math.log1p(-max(float(np.mean(met)), 1e-3))))
-    mean, size = math.acos(rho) / math.pi, bits * tables
-    return Plan(shingle, bits, tables, math.ceil(size * mean + 3 * math.sqrt(size * mean * (1 - mean))))
+    return Plan(shingle, bits, tables)
 
 
 def _segments(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +134,7 @@ def _mixed(h: np.ndarray, words: int) -> np.ndarray:
 
 
 def sketch(h: np.ndarray, p: Plan) -> tuple[np.ndarray, np.ndarray]:
-    """The segments of the complete fingerprint, and of each its ``FLIPS`` least certain bits, packed.
+    """The segments of the fingerprint, and of each its ``FLIPS`` least certain bits, packed.
 
     A text without shingles has no segments, so it is in no table.
     """
@@ -142,10 +148,44 @@ def sketch(h: np.ndarray, p: Plan) -> tuple[np.ndarray, np.ndarray]:
     return cores, (least << (_FLIP_BITS * np.arange(FLIPS))).sum(axis=1, dtype=np.int64)
 
 
-def _print(cores: np.ndarray) -> int:
+def _print(h: np.ndarray) -> int:
     from xxhash import xxh64_digest
 
-    return int.from_bytes(xxh64_digest(cores.tobytes(), SEED), "little", signed=True)
+    return int.from_bytes(xxh64_digest(h.tobytes(), SEED), "little", signed=True)
+
+
+def prefix_length(n: int, similarity: float = SIMILARITY) -> int:
+    """Of ``n`` shingles so many, in an order that all sets share, meet those of each set within the similarity."""
+    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+
+
+def prefix(h: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
+    """The first ``prefix_length`` of the sorted ``h``: by value, but those of ``frequent`` (sorted, with ranks) last, by rank."""
+    wanted, (known, ranks) = prefix_length(len(h), similarity), frequent
+    if not len(known) or not len(h):
+        return h[:wanted]
+    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    often = known[at] == h
+    rare = h[~often]
+    if len(rare) >= wanted:
+        return rare[:wanted]
+    return np.concatenate([rare, h[often][np.argsort(ranks[at[often]], kind="stable")][: wanted - len(rare)]])
+
+
+def parities(h: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """Bit k is set if an odd number of ``h`` end in k: two sets differ in as many members as bits, or more.
+
+    ``words`` is a power of two; the halves of an array make that of half the words.
+    """
+    bits = np.bincount((h & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def wide(h: np.ndarray) -> np.ndarray:
+    """Parities of a bit a member for a set that is too large for ``WORDS``, or is near to such sets."""
+    if len(h) <= 32 * WORDS:
+        return np.empty(0, np.int64)
+    return parities(h, max(WORDS, 1 << math.ceil(math.log2(len(h) / 64))))
 
 
 def _lists(parts: list[np.ndarray], dtype: type) -> pa.Array:
@@ -153,41 +193,116 @@ def _lists(parts: list[np.ndarray], dtype: type) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, dtype), *parts])))
 
 
-def sketches(docs: DataFrame, p: Plan, id_col: str, text_col: str) -> DataFrame:
-    """(row, id, print, cores, flips, shingles) of every document; no shuffle.
+Frequent = tuple[np.ndarray, np.ndarray]
+_NONE: Frequent = (np.empty(0, np.uint64), np.empty(0, np.int64))
+
+
+def frequent(docs: DataFrame, n: int, shingle: int, text_col: str) -> Frequent:
+    """Shingles of several texts of a bounded sample, sorted, and their ranks by frequency.
+
+    They order the shingles and nothing else: any order gives the same links.
+    """
+    sample = docs.where(F.pmod(F.xxhash64(F.col(text_col)), F.lit(max(1, -(-n // SAMPLE)))) == 0).select(text_col)
+    some = runtime.map_text(sample, lambda col: [_lists([shingles(t.as_py(), shingle).view(np.int64) for t in col], np.int64)], [("h", "array<bigint>")], text_col, (), rows=_ROWS)
+    counts = some.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
+    top = counts.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).toArrow()
+    h, seen = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    order = np.argsort(h)
+    ranks = np.empty(len(h), np.int64)
+    ranks[np.lexsort((h, seen))] = np.arange(len(h))
+    return h[order], ranks[order]
+
+
+def sketches(docs: DataFrame, p: Plan, id_col: str, text_col: str, often: Frequent = _NONE, similarity: float = SIMILARITY) -> DataFrame:
+    """(row, id, print, n, cores, flips, parities, wide, prefix, shingles) of every document; no shuffle.
 
     ``row`` numbers the rows once the result is written, ``print`` is a hash of
-    the complete fingerprint; shingles are cut to 32 bits.
+    the set of ``n`` shingles; shingles are cut to 32 bits, but those of the prefix.
     """
 
     def kernel(col: pa.Array) -> list:
         sets = [shingles(t.as_py(), p.shingle) for t in col]
         made = [sketch(h, p) for h in sets]
         cut = [(h & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32) for h in sets]
-        return [pa.array([_print(c) for c, _ in made], pa.int64()), _lists([c for c, _ in made], np.int64), _lists([f for _, f in made], np.int64), _lists(cut, np.int32)]
+        return [
+            pa.array([_print(h) for h in sets], pa.int64()),
+            pa.array([len(h) for h in sets], pa.int32()),
+            _lists([c for c, _ in made], np.int64),
+            _lists([f for _, f in made], np.int64),
+            _lists([parities(h) for h in sets], np.int64),
+            _lists([wide(h) for h in sets], np.int64),
+            _lists([prefix(h, often, similarity).view(np.int64) for h in sets], np.int64),
+            _lists(cut, np.int32),
+        ]
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(runtime._q(id_col)).alias("id"), F.col(runtime._q(text_col)).alias("text"))
-    return runtime.map_text(rows, kernel, [("print", "bigint"), ("cores", "array<bigint>"), ("flips", "array<bigint>"), ("shingles", "array<int>")], "text", ("row", "id"))
+    fields = [("print", "bigint"), ("n", "int"), ("cores", "array<bigint>"), ("flips", "array<bigint>"), ("parities", "array<bigint>"), ("wide", "array<bigint>"), ("prefix", "array<bigint>"), ("shingles", "array<int>")]
+    return runtime.map_text(rows, kernel, fields, "text", ("row", "id"), rows=_ROWS)
 
 
 def distinct(made: DataFrame) -> DataFrame:
-    """(node, print, first, cores, flips) of each fingerprint: a row that has it, and the smallest id."""
-    return made.groupBy("print").agg(F.min("row").alias("node"), F.min("id").alias("first"), F.any_value("cores").alias("cores"), F.any_value("flips").alias("flips"))
+    """(node, print, first) of each set of shingles: a row that has it, and the smallest id."""
+    return made.groupBy("print").agg(F.min("row").alias("node"), F.min("id").alias("first"))
+
+
+def _of(made: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` of the rows of ``made`` that are nodes."""
+    return made.select(F.col("row").alias("node"), *columns).join(nodes.select("node"), "node", "left_semi")
 
 
 def _entries(nodes: DataFrame) -> DataFrame:
-    """(node, segment, value): the balls of all segments."""
+    """(node, key): the balls of all segments; a key is the segment's number above a value."""
     one = F.lit(1).cast("bigint")
     flipped = [F.call_function("shiftleft", one, F.shiftright("s.flips", _FLIP_BITS * k).bitwiseAND((1 << _FLIP_BITS) - 1).cast("int")) for k in range(FLIPS)]
     segments = nodes.select("node", F.posexplode(F.arrays_zip("cores", "flips")).alias("segment", "s"))
-    return segments.select("node", "segment", "s.cores", F.explode(F.array(F.lit(0).cast("bigint"), *flipped)).alias("flip")).select("node", "segment", F.col("cores").bitwiseXOR(F.col("flip")).alias("value"))
+    values = segments.select("node", "segment", "s.cores", F.explode(F.array(F.lit(0).cast("bigint"), *flipped)).alias("flip"))
+    return values.select("node", F.col("cores").bitwiseXOR(F.col("flip")).bitwiseOR(F.shiftleft(F.col("segment").cast("bigint"), _SEGMENT_AT)).alias("key"))
 
 
-def _near(pairs: DataFrame, nodes: DataFrame, p: Plan) -> DataFrame:
-    """Those of ``pairs`` (a, b) that are at a possible distance of the complete fingerprints."""
-    one, other = nodes.select(F.col("node").alias("a"), F.col("cores").alias("ca")), nodes.select(F.col("node").alias("b"), F.col("cores").alias("cb"))
-    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col("ca")[i].bitwiseXOR(F.col("cb")[i])) for i in range(p.tables)])
-    return pairs.distinct().join(one, "a").join(other, "b").where(apart <= p.possible).select("a", "b")
+def _shared(entries: DataFrame) -> DataFrame:
+    """``entries`` (node, key) of the keys of several nodes, with their number ``size``."""
+    each = Window.partitionBy("key")
+    met = entries.withColumns({"least": F.min("node").over(each), "most": F.max("node").over(each), "size": F.count("*").over(each)})
+    return met.where("least < most").drop("least", "most")
+
+
+def _stars(shared: DataFrame) -> DataFrame:
+    """(a, b): each member of an entry with the leader, the member that shares most."""
+    weights = shared.groupBy("node").agg(F.sum("size").alias("weight"))
+    leaders = shared.join(weights, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("top")).select("key", F.col("top.node").alias("leader"))
+    led = shared.join(leaders, "key").where("node <> leader")
+    return led.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+
+
+def _possible(similarity: float, words: int, a: str = "a", b: str = "b") -> Column:
+    """Whether sizes and parities (columns n and w of a and b) leave room for the similarity."""
+    n, m = F.col(f"{a}n"), F.col(f"{b}n")
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}w{i}").bitwiseXOR(F.col(f"{b}w{i}"))) for i in range(words)])
+    return (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-6) & (apart <= (n + m) * ((1 - similarity) / (1 + similarity)) + 1e-6)
+
+
+def _side(marks: DataFrame, side: str) -> DataFrame:
+    """``marks`` (node, n, parities) as columns of one side of a pair."""
+    return marks.select(F.col("node").alias(side), F.col("n").alias(f"{side}n"), *[F.col("parities")[i].alias(f"{side}w{i}") for i in range(WORDS)])
+
+
+def _folded(side: str, words: Column) -> Column:
+    """``words`` of the parities of a side, which has as many or twice as many."""
+    w = F.col(side)
+    return F.transform(F.slice(w, 1, words), lambda x, i: F.when(F.size(w) > words, x.bitwiseXOR(F.get(w, i + words))).otherwise(x))
+
+
+def _near(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) that may have the similarity by their sizes and parities, of large sets by the wide ones too."""
+    some = pairs.join(_side(marks, "a"), "a").join(_side(marks, "b"), "b").where(_possible(similarity, WORDS))
+    some = runtime.materialize(some.select("a", "b", F.greatest("an", "bn").alias("n"), (F.col("an") + F.col("bn")).alias("total")), "possible")
+    large = some.where(F.col("n") > 64 * WORDS)
+    held = marks.where(F.size("wide") > 0)
+    words = F.least(F.size("wa"), F.size("wb"))
+    apart = F.aggregate(F.zip_with(_folded("wa", words), _folded("wb", words), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    large = large.join(held.select(F.col("node").alias("a"), F.col("wide").alias("wa")), "a").join(held.select(F.col("node").alias("b"), F.col("wide").alias("wb")), "b")
+    large = large.where(apart <= F.col("total") * ((1 - similarity) / (1 + similarity)) + 1e-6)
+    return some.where(F.col("n") <= 64 * WORDS).select("a", "b").unionByName(large.select("a", "b"))
 
 
 def _alike(pairs: DataFrame, made: DataFrame, similarity: float) -> DataFrame:
@@ -226,45 +341,39 @@ def grown(labels: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def links(nodes: DataFrame, made: DataFrame, p: Plan, similarity: float = SIMILARITY, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) that connect the ``nodes`` that meet in a table and are alike, and the components (node, root).
+    """Links (a, b) that connect all ``nodes`` that are alike, and the components (node, root).
 
-    ``made`` has the shingles of the nodes, by row.
+    ``made`` has the sketches of the nodes, by row.
     """
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        near = runtime.materialize(_near(pairs, nodes, p), "near")
-        return runtime.materialize(_alike(near, made, similarity), "links")
-
-    key = F.col("value").bitwiseOR(F.shiftleft(F.col("segment").cast("bigint"), _SEGMENT_AT))
-    entries = _entries(nodes).select("node", "segment", key.alias("key"))
+    marks = runtime.materialize(_of(made, nodes, "n", "parities", "wide"), "marks")
     found: list[DataFrame] = []
     roots = nodes.sparkSession.createDataFrame([], "node bigint, root bigint")
-    for level in range(1, p.tables + 1):
-        # An entry of two is a pair already; only larger ones bring their members together.
-        counts = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).where("n > 1")
-        counts = runtime.materialize(counts, "counts")
-        shared = runtime.materialize(entries.join(counts.where("n > 2").select("key", "n"), "key"), "shared")
-        weights = shared.groupBy("node").agg(F.sum("n").alias("weight"))
-        leaders = shared.join(weights, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("top")).select("key", F.col("top.node").alias("leader"))
-        led = runtime.materialize(shared.join(leaders, "key").where("node <> leader"), "led")
-        stars = led.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-        found.append(verified(counts.where("n = 2").select("a", "b").unionByName(stars)))
-        roots = grown(roots, found[-1])
-        own, lead = roots.select("node", F.col("root").alias("known")), roots.select(F.col("node").alias("leader"), F.col("root").alias("led_by"))
-        apart = led.join(own, "node", "left").join(lead, "leader", "left").select("key", "node", "segment", "n", F.coalesce("known", "node").alias("root"), F.coalesce("led_by", "leader").alias("led_by"))
-        few = apart if level == p.tables else apart.where(F.col("n") <= bucket)
-        left, right = few.select("key", F.col("node").alias("a"), F.col("root").alias("ra")), few.select(F.col("key").alias("k"), F.col("node").alias("b"), F.col("root").alias("rb"))
-        found.append(verified(left.join(right, (F.col("key") == F.col("k")) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))).select("a", "b")))
+
+    def link(pairs: DataFrame) -> None:
+        nonlocal roots
+        near = runtime.materialize(_near(pairs, marks, similarity), "near")
+        found.append(runtime.materialize(_alike(near, made, similarity), "links"))
         roots = grown(roots, found[-1])
-        crowd = apart.where((F.col("n") > bucket) & (F.col("root") != F.col("led_by"))).select("key", "node", "segment")
-        if level == p.tables or crowd.isEmpty():
-            break
-        wider = _entries(nodes).withColumnRenamed("segment", "further")
-        told = crowd.withColumn("further", F.pmod(F.col("segment") + level, F.lit(p.tables))).join(wider, ["node", "further"])
-        entries = runtime.materialize(told.select("node", "segment", F.xxhash64("key", "value").alias("key")), "rest")
+
+    link(_stars(runtime.materialize(_shared(_entries(_of(made, nodes, "cores", "flips"))), "shared")))
+    shared = runtime.materialize(_shared(_of(made, nodes, "prefix").select("node", F.explode("prefix").alias("key"))), "prefixes")
+    crowded = apart(shared, roots).where(F.col("size") > bucket)
+    link(_stars(crowded.select("key", "node", "size")))
+    folded = [reduce(lambda x, y: x.bitwiseXOR(y), [F.col("parities")[k] for k in range(i, WORDS, FOLDED)]).alias(f"w{i}") for i in range(FOLDED)]
+    left = runtime.materialize(apart(shared, roots).join(marks.select("node", "n", *folded), "node"), "apart")
+    sides = [left.select("key", F.col("node").alias(x), *[F.col(c).alias(f"{x}{c}") for c in ("root", "n", *(f"w{i}" for i in range(FOLDED)))]) for x in "ab"]
+    met = sides[0].join(sides[1].withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & (F.col("a") < F.col("b")) & (F.col("aroot") != F.col("broot")) & _possible(similarity, FOLDED))
+    link(met.select("a", "b").distinct())
     return reduce(DataFrame.unionByName, found), roots
 
 
+def apart(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, node, size, root) of the entries that hold members of several components of ``roots`` (node, root)."""
+    each = Window.partitionBy("key")
+    known = shared.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
+    return known.withColumns({"least": F.min("root").over(each), "most": F.max("root").over(each)}).where("least < most").drop("least", "most")
+
+
 def keep_first(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -278,8 +387,9 @@ def keep_first(
     cols = list(docs.columns)
     own = docs.toDF(*[f"c{i}" for i in range(len(cols))])
     at, text = f"c{cols.index(id_col)}", f"c{cols.index(text_col)}"
-    p = plan(docs.count(), shingle, similarity, recall)
-    made = runtime.materialize(sketches(own, p, at, text), "sketches")
+    n = docs.count()
+    p = plan(n, shingle, similarity, recall)
+    made = runtime.materialize(sketches(own, p, at, text, frequent(own, n, shingle, text), similarity), "sketches")
     nodes = runtime.materialize(distinct(made), "nodes")
     roots = links(nodes, made, p, similarity, bucket)[1].withColumnRenamed("node", "linked")
     known = nodes.select("node", "print", "first").join(roots, F.col("node") == F.col("linked"), "left").select("print", "first", F.coalesce("root", "node").alias("root"))
@@ -289,6 +399,6 @@ def keep_first(
     if made.groupBy("id").count().where("count > 1").isEmpty():
         left = marked
     else:  # the fingerprint tells rows of one id apart, the last step equal rows
-        again = runtime.map_text(marked, lambda col: [pa.array([_print(sketch(shingles(t.as_py(), p.shingle), p)[0]) for t in col], pa.int64())], [("print", "bigint")], text, (*own.columns, "keep_print", "root"))
+        again = runtime.map_text(marked, lambda col: [pa.array([_print(shingles(t.as_py(), p.shingle)) for t in col], pa.int64())], [("print", "bigint")], text, (*own.columns, "keep_print", "root"))
         left = again.where("print = keep_print").dropDuplicates(["root"])
     return left.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(cols)])

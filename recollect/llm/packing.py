@@ -141,6 +141,7 @@ class Tokenizer:
 
 #: The memo of a worker's latest job; a job's tasks share it.
 _OF_JOB: dict[str, Tokenizer] = {}
+runtime.MEMOS.append(_OF_JOB)
 
 
 def _tokenizer(job: str, spec: str) -> Tokenizer:
