@@ -146,7 +146,7 @@ runtime.MEMOS.append(_OF_JOB)
 
 def _tokenizer(job: str, spec: str) -> Tokenizer:
     if job not in _OF_JOB:
-        _OF_JOB.clear()
+        runtime.release()
         _OF_JOB[job] = Tokenizer(spec)
     return _OF_JOB[job]
 
