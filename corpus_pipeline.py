@@ -15,11 +15,17 @@ from recollect.llm.runtime import crc_of_id
 from pyspark.sql import functions as F
 
 
+def _session(spark: SparkSession) -> None:
+    """Arrow batches stay small for the rest of the session: a stage's result is computed after it has returned."""
+    spark.conf.set(runtime.BATCH_KEY, runtime.BATCH_BYTES)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier rejects go.
 
     It learns from the labels of ``sf_dir`` whose documents are among ``docs``.
     """
+    _session(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs, labels, F.pmod(crc_of_id(), F.lit(5)) != 0)
     return toxicity.keep_clean(docs, model)
@@ -27,6 +33,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go that are in no language, or in none with a probability of one half."""
+    _session(spark)
     model = language_id.model_of(language_id.count(docs, F.pmod(crc_of_id(), F.lit(4)) != 2))
     return language_id.keep_identified(docs, model)
 
@@ -37,6 +44,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     SimHash with multi-index hashing as in ``simhash``, with fingerprints wide
     enough for five-word shingles at a similarity of 0.8.
     """
+    _session(spark)
     return near_copies.keep_first(docs)
 
 

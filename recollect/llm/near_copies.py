@@ -347,7 +347,7 @@ def links(nodes: DataFrame, made: DataFrame, p: Plan, similarity: float = SIMILA
     """
     marks = runtime.materialize(_of(made, nodes, "n", "parities", "wide"), "marks")
     found: list[DataFrame] = []
-    roots = nodes.sparkSession.createDataFrame([], "node bigint, root bigint")
+    roots = nodes.sparkSession.sql("SELECT CAST(NULL AS BIGINT) AS node, CAST(NULL AS BIGINT) AS root WHERE false")  # unlike createDataFrame it starts no Python workers
 
     def link(pairs: DataFrame) -> None:
         nonlocal roots

@@ -39,14 +39,28 @@ from . import blocks, runtime
 from .merges import LONGEST, Merges
 
 CAPACITY = 2048
-#: Distinct chunks of text whose ids a worker remembers.
-MEMO = 600_000
+#: Distinct chunks of text whose ids a worker remembers.  Most new chunks never come again, so more are hardly worth their memory.
+MEMO = 150_000
 #: Bytes of text that are encoded at a time (a longer text is encoded by itself).
-BLOCK_BYTES = 1 << 23
+BLOCK_BYTES = 1 << 21
+#: Characters that the library gets at a time (a longer chunk by itself): what it returns takes many times as much.
+LIBRARY_CHARS = 1 << 18
 _END = b"\0\0\0\0"
 _CLOSING = ".,!?;:"
 
 
+def _runs(chunks: list[str], limit: int) -> Iterator[list[str]]:
+    """Runs of ``chunks`` of at most ``limit`` characters together, or of one that is longer."""
+    first = size = 0
+    for i, c in enumerate(chunks):
+        size += len(c)
+        if size > limit and i > first:
+            yield chunks[first:i]
+            first, size = i, len(c)
+    if chunks:
+        yield chunks[first:]
+
+
 class Tokenizer:
     """Ids of whole texts by the library, put together from those of chunks between white space.
 
@@ -103,8 +117,9 @@ class Tokenizer:
             self.starts.frombytes((np.cumsum(lengths) + self.starts[-1]).tobytes())
             self.ids.frombytes(ids.tobytes())
             need = [c for c in need if c not in self.memo]
-        for c, e in zip(need, self.many(need, add_special_tokens=False)):
-            self._put(c, array("I", e.ids))
+        for part in _runs(need, LIBRARY_CHARS):
+            for c, e in zip(part, self.many(part, add_special_tokens=False)):
+                self._put(c, array("I", e.ids))
         for c, (stem, closing) in parts.items():
             self._put(c, self._known(stem) + self._known(closing))
 
@@ -320,7 +335,8 @@ def places(classes: dict[tuple[int, ...], int]) -> dict[int, tuple[np.ndarray, .
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset) of every piece."""
-    cut = runtime.materialize(pieces(docs, path, capacity, id_col, text_col), "pieces")
+    with runtime.small_batches(docs.sparkSession):
+        cut = runtime.materialize(pieces(docs, path, capacity, id_col, text_col), "pieces")
     counts = cut.groupBy("task", "length").agg(F.count("*").alias("n"))
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
     at = pickle.dumps(places(plan(histogram, capacity)))
