@@ -22,7 +22,8 @@ decided exactly, so the result doesn't depend on it:
 
 * in any one order of all shingles, two sets of a similarity of 0.8 have a common
   member among the first ``prefix_length`` of each.  The order puts the shingles
-  last that are frequent in a bounded sample of texts, which only saves pairs;
+  last that are frequent in a sample of texts, which only saves pairs.  The sample
+  is a fixed share of the texts, so a shingle that comes first has few texts at every size;
 * sets with a common member there are compared if they are of different
   components by now, of possible sizes, and if the parities of their members' hashes
   (``WORDS`` times 64 bits, more for large sets) differ in no more bits than the
@@ -30,8 +31,12 @@ decided exactly, so the result doesn't depend on it:
   so that a large group of copies is one component before pairs are made;
 * what passes is compared by its shingle sets, as the pairs of the first search.
 
-Work in a group of texts that share much and yet are no near copies grows with
-the square of its size, in a join's condition; the pairs that leave it don't.
+So a passage that ever more texts quote makes no pairs of texts that have a fifth
+of their own.  Texts that share nearly all of their shingles with a group and yet
+are no near copies are still met there with the square of its size, in a join's condition.
+
+Which rows are meant (those of distinct sets, those of the pairs) goes to the
+sketches as bitmaps, an eighth of a byte a row, so no sketch is shuffled for it.
 
 Defined results: a null text is empty; texts without words are copies of each
 other; texts of fewer words are one shingle; a null id never is the smallest id;
@@ -61,11 +66,12 @@ FLIPS = 7
 SPARE_BITS = 5
 BUCKET = 64
 WORDS, FOLDED = 16, 4
-SAMPLE, FREQUENT, MOST_FREQUENT = 4096, 3, 1 << 16
+SAMPLE, RATE, FREQUENT, MOST_FREQUENT = 4096, 8, 3, 1 << 20
 SEED = 42
 _ROWS = 256  # texts that are hashed at once
 _SEGMENT_AT = 48  # an entry's key: the segment's number above its value
 _FLIP_BITS = 6  # the number of a bit in a segment
+_MAP_BITS = 15  # rows of one bitmap, as Spark's bitmap functions have it
 
 
 @dataclass(frozen=True)
@@ -198,11 +204,13 @@ _NONE: Frequent = (np.empty(0, np.uint64), np.empty(0, np.int64))
 
 
 def frequent(docs: DataFrame, n: int, shingle: int, text_col: str) -> Frequent:
-    """Shingles of several texts of a bounded sample, sorted, and their ranks by frequency.
+    """Shingles of several texts of a sample, sorted, and their ranks by frequency.
 
     They order the shingles and nothing else: any order gives the same links.
+    One text in ``RATE`` is in the sample, of few texts about ``SAMPLE`` or all: in a sample
+    of one size the shingles that it misses have more and more texts as the table grows.
     """
-    sample = docs.where(F.pmod(F.xxhash64(F.col(text_col)), F.lit(max(1, -(-n // SAMPLE)))) == 0).select(text_col)
+    sample = docs.where(F.pmod(F.xxhash64(F.col(text_col)), F.lit(max(1, min(RATE, n // SAMPLE)))) == 0).select(text_col)
     some = runtime.map_text(sample, lambda col: [_lists([shingles(t.as_py(), shingle).view(np.int64) for t in col], np.int64)], [("h", "array<bigint>")], text_col, (), rows=_ROWS)
     counts = some.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
     top = counts.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).toArrow()
@@ -245,9 +253,18 @@ def distinct(made: DataFrame) -> DataFrame:
     return made.groupBy("print").agg(F.min("row").alias("node"), F.min("id").alias("first"))
 
 
-def _of(made: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:
-    """``columns`` of the rows of ``made`` that are nodes."""
-    return made.select(F.col("row").alias("node"), *columns).join(nodes.select("node"), "node", "left_semi")
+def bitmaps(nodes: DataFrame) -> DataFrame:
+    """(block, bits): of each block of rows the bitmap of those that are in ``nodes``; a few bytes for what would be a join's shuffle."""
+    blocks = nodes.select(F.shiftright("node", _MAP_BITS).alias("block"), F.col("node").bitwiseAND((1 << _MAP_BITS) - 1).alias("bit")).repartition("block")
+    return blocks.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def _of(made: DataFrame, maps: DataFrame, *columns: str, row: str = "row") -> DataFrame:
+    """``columns`` of the rows of ``made`` that are in ``maps``, with their number as ``node``."""
+    bit = F.col("node").bitwiseAND((1 << _MAP_BITS) - 1)
+    held = made.select(F.col(row).alias("node"), *columns).join(F.broadcast(maps), F.shiftright("node", _MAP_BITS) == F.col("block"))
+    byte = F.conv(F.hex(F.substring("bits", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return held.where(F.getbit(byte, bit.bitwiseAND(7).cast("int")) == 1).select("node", *columns)
 
 
 def _entries(nodes: DataFrame) -> DataFrame:
@@ -292,8 +309,14 @@ def _folded(side: str, words: Column) -> Column:
     return F.transform(F.slice(w, 1, words), lambda x, i: F.when(F.size(w) > words, x.bitwiseXOR(F.get(w, i + words))).otherwise(x))
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """(node): the ends of ``pairs`` (a, b), with repeats."""
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+
+
 def _near(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
     """Those of ``pairs`` (a, b) that may have the similarity by their sizes and parities, of large sets by the wide ones too."""
+    marks = runtime.materialize(_of(marks, bitmaps(_ends(pairs)), "n", "parities", "wide", row="node"), "ends")
     some = pairs.join(_side(marks, "a"), "a").join(_side(marks, "b"), "b").where(_possible(similarity, WORDS))
     some = runtime.materialize(some.select("a", "b", F.greatest("an", "bn").alias("n"), (F.col("an") + F.col("bn")).alias("total")), "possible")
     large = some.where(F.col("n") > 64 * WORDS)
@@ -307,9 +330,8 @@ def _near(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
 
 def _alike(pairs: DataFrame, made: DataFrame, similarity: float) -> DataFrame:
     """Those of ``pairs`` (a, b) whose shingle sets have at least the Jaccard similarity."""
-    needed = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
-    sets = runtime.materialize(made.select("row", "shingles").join(needed, "row", "left_semi"), "sets")
-    one, other = sets.select(F.col("row").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("row").alias("b"), F.col("shingles").alias("sb"))
+    sets = runtime.materialize(_of(made, bitmaps(_ends(pairs)), "shingles"), "sets")
+    one, other = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     sizes = F.size("sa") + F.size("sb")
     fit = (F.least(F.size("sa"), F.size("sb")) >= similarity * F.greatest(F.size("sa"), F.size("sb"))) & (both >= similarity * (sizes - both))
@@ -345,19 +367,21 @@ def links(nodes: DataFrame, made: DataFrame, p: Plan, similarity: float = SIMILA
 
     ``made`` has the sketches of the nodes, by row.
     """
-    marks = runtime.materialize(_of(made, nodes, "n", "parities", "wide"), "marks")
+    maps = runtime.materialize(bitmaps(nodes), "maps")
+    marks = runtime.materialize(_of(made, maps, "n", "parities", "wide"), "marks")
     found: list[DataFrame] = []
     roots = nodes.sparkSession.sql("SELECT CAST(NULL AS BIGINT) AS node, CAST(NULL AS BIGINT) AS root WHERE false")  # unlike createDataFrame it starts no Python workers
 
     def link(pairs: DataFrame) -> None:
         nonlocal roots
+        pairs = runtime.materialize(pairs, "pairs")
         near = runtime.materialize(_near(pairs, marks, similarity), "near")
         found.append(runtime.materialize(_alike(near, made, similarity), "links"))
         roots = grown(roots, found[-1])
 
-    link(_stars(runtime.materialize(_shared(_entries(_of(made, nodes, "cores", "flips"))), "shared")))
-    shared = runtime.materialize(_shared(_of(made, nodes, "prefix").select("node", F.explode("prefix").alias("key"))), "prefixes")
-    crowded = apart(shared, roots).where(F.col("size") > bucket)
+    link(_stars(runtime.materialize(_shared(_entries(_of(made, maps, "cores", "flips"))), "shared")))
+    shared = runtime.materialize(_shared(_of(made, maps, "prefix").select("node", F.explode("prefix").alias("key"))), "prefixes")
+    crowded = apart(shared.where(F.col("size") > bucket), roots)
     link(_stars(crowded.select("key", "node", "size")))
     folded = [reduce(lambda x, y: x.bitwiseXOR(y), [F.col("parities")[k] for k in range(i, WORDS, FOLDED)]).alias(f"w{i}") for i in range(FOLDED)]
     left = runtime.materialize(apart(shared, roots).join(marks.select("node", "n", *folded), "node"), "apart")

@@ -114,3 +114,27 @@ def test_plan_grows_with_the_table():
     plans = [near_copies.plan(n) for n in (0, 1, 1000, 10**6, 10**9)]
     assert [p.bits for p in plans] == sorted(p.bits for p in plans) and [p.tables for p in plans] == sorted(p.tables for p in plans)
     assert near_copies.plan(1000, recall=0.5).tables < near_copies.plan(1000, recall=0.99).tables
+
+
+def test_a_quoted_passage_makes_no_pairs(spark, monkeypatch):
+    """Texts with a long common passage and much of their own are no near copies; their pairs would grow with the square of their number."""
+    monkeypatch.setattr(near_copies, "SAMPLE", 2)  # a sample of one size misses the passage
+    rng = np.random.default_rng(7)
+    passage = " ".join(f"p{i}" for i in range(600))
+    texts = [f"{passage} " + " ".join(f"w{x}" for x in rng.integers(0, 10**6, 900)) for _ in range(100)]
+    texts += [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 900)) for _ in range(50)]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA)
+    met, near = [], near_copies._near
+    monkeypatch.setattr(near_copies, "_near", lambda pairs, *more: met.append(pairs.count()) or near(pairs, *more))
+    assert near_copies.keep_first(docs).count() == 150
+    assert sum(met) < 500
+
+
+def test_rows_by_bitmaps(spark):
+    wanted = [0, 7, 8, 32767, 32768, (5 << 33) + 3, (5 << 33) + 40_000]
+    rows = [*wanted, 1, 6, 9, 32769, 65535, 3, (5 << 33) + 2, (6 << 33) + 3]
+    made = spark.createDataFrame([(r, str(r)) for r in rows], "row bigint, name string")
+    nodes = spark.createDataFrame([(r,) for r in wanted * 2], "node bigint")
+    got = near_copies._of(made, near_copies.bitmaps(nodes), "name")
+    assert sorted((r.node, r.name) for r in got.collect()) == [(r, str(r)) for r in sorted(wanted)]
+    assert near_copies._of(made, near_copies.bitmaps(nodes.limit(0)), "name").count() == 0
