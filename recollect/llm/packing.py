@@ -89,6 +89,24 @@ class Tokenizer:
         self.ids.extend(ids)
         self.starts.append(len(self.ids))
 
+    def _keep(self, chunks: list[str], code: list[int | None]) -> list[str]:
+        """Forget all but those of ``chunks`` that have a ``code``; the others.
+
+        What comes again comes in most blocks, so it is copied and not merged anew.
+        """
+        kept = [c for c, k in zip(chunks, code) if k is not None]
+        at = np.array([k for k in code if k is not None], np.int64)
+        starts, ids = np.frombuffer(self.starts, np.int64), np.frombuffer(self.ids, np.uint32) if self.ids else np.zeros(0, np.uint32)
+        length = starts[at + 1] - starts[at]
+        ends = np.cumsum(length)
+        own = ids[np.repeat(starts[at] - (ends - length), length) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        del starts, ids  # arrays that are viewed can't grow
+        self._forget()
+        self.memo.update(zip(kept, range(len(kept))))
+        self.starts.frombytes(ends.tobytes())
+        self.ids.frombytes(own.tobytes())
+        return [c for c, k in zip(chunks, code) if k is None]
+
     def _known(self, chunk: str) -> array:
         i = self.memo[chunk]
         return self.ids[self.starts[i] : self.starts[i + 1]]
@@ -132,8 +150,7 @@ class Tokenizer:
         rest = [c for c, k in zip(chunks, code) if k is None]
         if rest:
             if len(self.memo) + len(rest) > self.limit or len(self.ids) > 8 * self.limit:
-                self._forget()
-                rest = chunks
+                rest = self._keep(chunks, code)
             self._learn(rest)
             code = list(map(self.memo.__getitem__, chunks))
         starts = np.frombuffer(self.starts, np.int64)

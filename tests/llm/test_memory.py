@@ -4,6 +4,7 @@ import os
 import subprocess
 import sys
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -61,3 +62,20 @@ def test_batches_are_bounded_in_bytes(spark):
         assert _largest(d) < 5 << 20
     finally:
         spark.conf.set(runtime.BATCH_KEY, own)
+
+
+def test_what_a_block_knows_outlives_a_full_memo(monkeypatch):
+    """A memo that starts anew keeps the ids of the block's known chunks; none is merged twice in a row."""
+    import public_tokenizers
+    from tokenizers import Tokenizer as Library
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok = packing.Tokenizer(open(path, encoding="utf-8").read(), memo=40)
+    learned, learn = [], tok._learn
+    monkeypatch.setattr(tok, "_learn", lambda chunks: learned.append(list(chunks)) or learn(chunks))
+    often = "The same Words, again: and naïve 42 日本"
+    texts = [f"{often} " + " ".join(f"rare{chr(97 + k)}{chr(97 + i)}" for i in range(20)) for k in range(6)]
+    library = Library.from_file(path)
+    assert [np.frombuffer(x, np.uint32).tolist() for t in texts for x in tok.encode([t])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(tok.memo) <= 80
+    assert not {c for chunks in learned[1:] for c in chunks} & set(often.split())
