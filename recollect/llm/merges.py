@@ -68,6 +68,8 @@ class Merges:
             self.keys[at[now]], self.ranks[at[now]] = keys[now], values[now]
             left = np.setdiff1d(left, now)
             at[left] = (at[left] + 1) % (1 << self.bits)
+        #: Ranks of pairs of bytes, within a word and at its end.
+        self.of_bytes = [self.rank(*np.broadcast_arrays(inner[:, None], end)) for end in (inner, last)]
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * _SPREAD) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -89,25 +91,31 @@ class Merges:
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(order, lengths, ids): ids of ``words[order[0]]``, ``words[order[1]]``, and so on, one after another."""
         size = np.fromiter(map(len, words), np.int64, len(words))
+        return self.encode_at(np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size, size)
+
+    def encode_at(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``encode`` of the words that start at ``start`` in ``data`` and have ``size`` bytes (none has none)."""
         order, lengths, ids = [], [], []
         by_size = np.argsort(size, kind="stable")
         for rows in np.split(by_size, np.flatnonzero(np.diff(size[by_size])) + 1):
             for lo in range(0, len(rows), _ROWS):
                 own = rows[lo : lo + _ROWS]
-                raw = np.frombuffer(b"".join([words[i] for i in own]), np.uint8).reshape(len(own), -1)
+                raw = data[start[own][:, None] + np.arange(size[own[0]])]
                 symbols = self.inner[raw]
                 symbols[:, -1] = self.last[raw[:, -1]]
-                for at, done in self._merge(symbols):
+                ranks = self.of_bytes[0][raw[:, :-1], raw[:, 1:]]
+                if ranks.shape[1]:
+                    ranks[:, -1] = self.of_bytes[1][raw[:, -2], raw[:, -1]]
+                for at, done in self._merge(symbols, ranks):
                     order.append(own[at])
                     lengths.append(np.full(len(at), done.shape[1]))
                     ids.append(done.ravel())
         join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
         return join(order, np.int64), join(lengths, np.int64), join(ids, np.uint32)
 
-    def _merge(self, symbols: np.ndarray):
-        """(rows, their final symbols), for each final length."""
+    def _merge(self, symbols: np.ndarray, ranks: np.ndarray):
+        """(rows, their final symbols), for each final length; ``ranks`` are those of the pairs."""
         rows = np.arange(len(symbols))
-        ranks = self.rank(symbols[:, :-1], symbols[:, 1:])
         while ranks.shape[1] and len(rows):
             at = ranks.argmin(1)
             best = ranks[np.arange(len(rows)), at]

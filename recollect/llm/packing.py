@@ -35,11 +35,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import blocks, runtime
+from . import blocks, pretokens, runtime
 from .merges import LONGEST, Merges
 
 CAPACITY = 2048
-#: Distinct chunks of text whose ids a worker remembers.  Most new chunks never come again, so more are hardly worth their memory.
+#: Distinct units of text whose ids a worker remembers.  Most new units never come again, so more are hardly worth their memory.
 MEMO = 150_000
 #: Bytes of text that are encoded at a time (a longer text is encoded by itself).
 BLOCK_BYTES = 1 << 21
@@ -66,7 +66,9 @@ class Tokenizer:
 
     The tokenizer must drop white space before it merges, so that chunks encode
     independently.  Texts are cut at ASCII white space only; other white space
-    stays within a chunk and is the library's to drop.
+    stays within a chunk and is the library's to drop.  If the tokenizer file is
+    of the kind that ``pretokens`` knows, chunks of Latin text are cut further,
+    into pre-tokens in lower case: far fewer of these are distinct.
     """
 
     def __init__(self, spec: str, memo: int = MEMO):
@@ -76,6 +78,7 @@ class Tokenizer:
         from tokenizers import Tokenizer as Library
 
         self.library, self.merges, self.limit = Library.from_str(spec), Merges(spec), memo
+        self.fine = pretokens.fits(spec)
         self.many = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
         self._forget()
 
@@ -111,6 +114,21 @@ class Tokenizer:
         i = self.memo[chunk]
         return self.ids[self.starts[i] : self.starts[i + 1]]
 
+    def _merge_words(self, chunks: list[str]) -> list[str]:
+        """Put those of ``chunks`` that are words of letters below U+0130 in lower case into the memo; the others."""
+        if not self.merges.usable or not chunks:
+            return chunks
+        data, offsets = blocks.raw(pa.array(chunks, pa.large_string()))
+        data = data[: offsets[-1]]
+        start, size = offsets[:-1], np.diff(offsets)
+        is_word = pretokens.are_words(data, offsets) & (size > 0) & (size <= LONGEST)
+        at = np.flatnonzero(is_word)
+        order, lengths, ids = self.merges.encode_at(data, start[at], size[at])
+        self.memo.update(zip(map(chunks.__getitem__, at[order].tolist()), range(len(self.starts) - 1, len(self.starts) - 1 + len(at))))
+        self.starts.frombytes((np.cumsum(lengths) + self.starts[-1]).tobytes())
+        self.ids.frombytes(ids.tobytes())
+        return list(map(chunks.__getitem__, np.flatnonzero(~is_word).tolist()))
+
     def _learn(self, chunks: list[str]) -> None:
         """Put the ids of ``chunks``, none of which it has, into the memo.
 
@@ -121,30 +139,35 @@ class Tokenizer:
         such letters alone are one pre-token each and are merged many at a time.
         """
         parts = {}
+        chunks = self._merge_words(chunks)
         for c in chunks:
-            if c and not (c.isalpha() and c.islower()) and (c.isascii() or max(c) < "\u0130") and "<|" not in c:
+            if c and (c.isascii() or max(c) < "\u0130") and "<|" not in c:
                 low = c.lower()
                 stem = low.rstrip(_CLOSING)
                 if stem != c and stem and stem[-1].isalnum() and (stem[-1].isalpha() or stem[-1].isdecimal()):
                     parts[c] = stem, low[len(stem) :]
         need = [c for c in {c for c in chunks if c not in parts}.union(*parts.values()) if c not in self.memo]
-        if self.merges.usable:
-            plain = [(c, raw) for c in need if c.isalpha() and (c.isascii() or max(c) < "\u0130") and len(raw := c.lower().encode()) <= LONGEST]
-            order, lengths, ids = self.merges.encode([raw for _, raw in plain])
-            self.memo.update(zip([plain[i][0] for i in order], range(len(self.starts) - 1, len(self.starts) - 1 + len(plain))))
-            self.starts.frombytes((np.cumsum(lengths) + self.starts[-1]).tobytes())
-            self.ids.frombytes(ids.tobytes())
-            need = [c for c in need if c not in self.memo]
+        need = self._merge_words(need)
         for part in _runs(need, LIBRARY_CHARS):
             for c, e in zip(part, self.many(part, add_special_tokens=False)):
                 self._put(c, array("I", e.ids))
         for c, (stem, closing) in parts.items():
             self._put(c, self._known(stem) + self._known(closing))
 
+    def _split(self, col: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Units of all texts of ``col``, which encode independently, and the offsets of each text's."""
+        if not len(col):
+            return pa.array([], pa.string()), np.zeros(1, np.int64)
+        if self.fine:
+            data, offsets = blocks.raw(col)
+            return pretokens.cut(data[offsets[0] : offsets[-1]], offsets - offsets[0])
+        split = pc.ascii_split_whitespace(col)
+        return split.flatten(), np.asarray(split.offsets) - split.offsets[0].as_py()
+
     def encode_block(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of ``col`` (no nulls), one after another, and the offsets of each text's."""
-        split = pc.ascii_split_whitespace(col)
-        words = split.flatten().dictionary_encode()
+        units, offs = self._split(col)
+        words = units.dictionary_encode()
         chunks = words.dictionary.to_numpy(zero_copy_only=False).tolist()
         code = list(map(self.memo.get, chunks))
         rest = [c for c, k in zip(chunks, code) if k is None]
@@ -162,7 +185,6 @@ class Tokenizer:
         ids = np.frombuffer(self.ids, np.uint32) if self.ids else np.zeros(0, np.uint32)
         total = int(ends[-1]) if len(ends) else 0
         got = ids[np.repeat(first[at] - (ends - own), own) + np.arange(total)]
-        offs = np.asarray(split.offsets) - split.offsets[0].as_py() if len(col) else np.zeros(1, np.int64)
         return got, np.concatenate([[0], ends])[offs]
 
     def encode(self, texts: list[str]) -> list[bytes]:
